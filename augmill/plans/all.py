@@ -1,4 +1,4 @@
 """Import every plan module so that its queries register."""
 
-from augmill.plans import augment_plans  # noqa: F401
+from augmill.plans import augment_plans, lexicon_plans, split_plans, text_plans  # noqa: F401
 from augmill.plans.registry import ORACLE, QUERIES  # noqa: F401

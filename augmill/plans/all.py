@@ -1,4 +1,5 @@
 """Import every plan module so that its queries register."""
 
-from augmill.plans import augment_plans, corpus_plans, lexicon_plans, score_plans, split_plans, text_plans  # noqa: F401
+from augmill.plans import (augment_plans, corpus_plans, lexicon_plans, metric_plans, score_plans,  # noqa: F401
+                           split_plans, text_plans)  # noqa: F401
 from augmill.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -38,31 +38,35 @@ def prepare(df: DataFrame, syn: DataFrame) -> DataFrame:
     return rows.join(hits, "src_id", "left")
 
 
+def _gated(gate, expr):
+    return expr if gate is None else F.when(gate, expr)
+
+
 def _n_of(alpha: float) -> Column:
     return F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(float(alpha)) * F.col("n")).cast("bigint"))
 
 
-def synonym_replacement(df: DataFrame, alpha: float, seed: int, out: str = "new_words") -> DataFrame:
+def synonym_replacement(df: DataFrame, alpha: float, seed: int, out: str = "new_words", gate=None) -> DataFrame:
     """A1: the n first (by hash) distinct non-stop words that have synonyms are
     replaced everywhere by one hash-drawn synonym each."""
     key = (F.col("src_id"), F.col("cand"))
-    df = barrier(df, _chosen=F.slice(
+    df = barrier(df, _chosen=_gated(gate, F.slice(
         F.array_sort(F.transform(
             F.filter(F.array_distinct("words"),
                      lambda w: (~T.is_stop(w)) & F.try_element_at("smap", w).isNotNull()),
             lambda w: F.struct(D.sort_key("sr", seed, *key, w).alias("h"), w.alias("w")))),
-        1, _n_of(alpha).cast("int")))
-    df = barrier(df, _repl=F.map_from_entries(F.transform("_chosen", lambda x: F.struct(
+        1, _n_of(alpha).cast("int"))))
+    df = barrier(df, _repl=_gated(gate, F.map_from_entries(F.transform("_chosen", lambda x: F.struct(
         x["w"].alias("k"),
         F.element_at(F.try_element_at("smap", x["w"]),
                      (F.pmod(D.draw("sr_pick", seed, *key, x["w"]), F.size(F.try_element_at("smap", x["w"]))) + 1)
-                     .cast("int")).alias("v")))))
+                     .cast("int")).alias("v"))))))
     new = F.transform("words", lambda w: F.coalesce(F.try_element_at("_repl", w), w))
     new = F.flatten(F.transform(new, lambda x: F.split(x, " ")))
-    return df.withColumn(out, new).drop("_chosen", "_repl")
+    return df.withColumn(out, _gated(gate, new)).drop("_chosen", "_repl")
 
 
-def random_insertion(df: DataFrame, alpha: float, seed: int, out: str = "new_words") -> DataFrame:
+def random_insertion(df: DataFrame, alpha: float, seed: int, out: str = "new_words", gate=None) -> DataFrame:
     """A2: n insertions; each tries up to 9 drawn words for one with synonyms
     and inserts its first synonym before a drawn original position."""
     key = (F.col("src_id"), F.col("cand"))
@@ -73,42 +77,43 @@ def random_insertion(df: DataFrame, alpha: float, seed: int, out: str = "new_wor
             "smap", F.element_at("words", (F.pmod(D.draw("ri_word", seed, *key, k, d), n) + 1).cast("int"))))
         return F.get(F.get(F.filter(tries, lambda s: s.isNotNull()), 0), 0)
 
-    df = barrier(df, _ins=F.filter(F.transform(
+    df = barrier(df, _ins=_gated(gate, F.filter(F.transform(
         F.sequence(F.lit(1), _n_of(alpha).cast("int")),
         lambda k: F.struct(F.pmod(D.draw("ri_idx", seed, *key, k), n).alias("p"), F.lit(0).alias("o"),
                            k.cast("bigint").alias("k"), found(k).alias("w"))),
-        lambda x: x["w"].isNotNull()))
+        lambda x: x["w"].isNotNull())))
     orig = F.transform("words", lambda w, j: F.struct(j.cast("bigint").alias("p"), F.lit(1).alias("o"),
                                                         F.lit(0).cast("bigint").alias("k"), w.alias("w")))
     new = F.transform(F.array_sort(F.concat(orig, F.col("_ins"))), lambda x: x["w"])
-    return df.withColumn(out, new).drop("_ins")
+    return df.withColumn(out, _gated(gate, new)).drop("_ins")
 
 
-def random_swap(df: DataFrame, alpha: float, seed: int, out: str = "new_words") -> DataFrame:
-    """A3: 2n distinct positions (hash order) swapped pairwise; rows of fewer
-    than two words are unchanged."""
+def random_swap(df: DataFrame, alpha: float, seed: int, out: str = "new_words", gate=None) -> DataFrame:
+    """A3: the first 2n positions of a hash order are swapped pairwise; rows of
+    fewer than two words are unchanged. One sort builds the whole permutation
+    (position -> source position), so lookups are positional, O(n log n)."""
     key = (F.col("src_id"), F.col("cand"))
-    df = barrier(df, _srt=F.slice(F.array_sort(F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1),
-        lambda i: F.struct(D.sort_key("rs", seed, *key, i).alias("h"), i.alias("i")))),
-        1, (F.lit(2) * _n_of(alpha)).cast("int")))
-    df = barrier(df, _pm=F.map_from_entries(F.transform("_srt", lambda x, r: F.struct(
-        x["i"].alias("k"),
-        F.try_element_at("_srt", (F.when(r % 2 == 0, r + 2).otherwise(r)).cast("int"))["i"].alias("v")))))
-    swapped = F.transform("words", lambda w, j: F.coalesce(
-        F.try_element_at("words", (F.try_element_at("_pm", j.cast("bigint")) + 1).cast("int")), w))
-    return df.withColumn(out, F.when(F.col("n") < 2, F.col("words")).otherwise(swapped)).drop("_srt", "_pm")
-
-
-def random_deletion(df: DataFrame, p: float, seed: int, out: str = "new_words") -> DataFrame:
+    df = barrier(df, _srt=_gated(gate, F.array_sort(F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("n") - 1, F.lit(0).cast("bigint"))),
+        lambda i: F.struct(D.sort_key("rs", seed, *key, i).alias("h"), i.alias("i"))))))
+    two_n = (F.lit(2) * _n_of(alpha)).cast("int")
+    perm = F.transform("_srt", lambda x, r: F.struct(x["i"].alias("pos"), F.when(
+        r < two_n, F.try_element_at("_srt", F.when(r % 2 == 0, r + 2).otherwise(r).cast("int"))["i"])
+        .otherwise(x["i"]).alias("src")))
+    df = barrier(df, _perm=_gated(gate, F.transform(F.array_sort(perm), lambda x: x["src"])))
+    swapped = F.transform("words", lambda w, j: F.element_at("words", (F.element_at("_perm", j + 1) + 1).cast("int")))
+    return df.withColumn(out, _gated(gate, F.when(F.col("n") < 2, F.col("words")).otherwise(swapped))).drop("_srt", "_perm")
+
+
+def random_deletion(df: DataFrame, p: float, seed: int, out: str = "new_words", gate=None) -> DataFrame:
     """A4: keep each word when its draw is > p; all dropped -> one drawn word;
     one-word rows unchanged."""
     key = (F.col("src_id"), F.col("cand"))
-    df = barrier(df, _kept=F.filter("words", lambda w, i: D.uniform("rd", seed, *key, i) > F.lit(float(p))))
+    df = barrier(df, _kept=_gated(gate, F.filter("words", lambda w, i: D.uniform("rd", seed, *key, i) > F.lit(float(p)))))
     pick = F.array(F.element_at("words", (F.pmod(D.draw("rd_pick", seed, *key), F.col("n")) + 1).cast("int")))
     new = (F.when(F.col("n") == 1, F.col("words"))
            .when(F.size("_kept") == 0, pick).otherwise(F.col("_kept")))
-    return df.withColumn(out, new).drop("_kept")
+    return df.withColumn(out, _gated(gate, new)).drop("_kept")
 
 
 TECH_FN = {"sr": synonym_replacement, "ri": random_insertion, "rs": random_swap, "rd": random_deletion}
@@ -138,14 +143,14 @@ def eda(df: DataFrame, syn: DataFrame, naug: int = 8, alpha_sr: float = 0.1, alp
         lambda c: F.struct(D.sort_key("eda_pick", seed, F.col("src_id"), c).alias("h"), c.alias("c")))), 1, naug)
     cands = base.where(F.col("n") > 0).select("*", F.posexplode(picks).alias("pos", "pk"))
     cands = cands.select("*", F.col("pk.c").alias("cand"), (F.col("pos") + 1).cast("bigint").alias("copy_no"))
-    branches = []
+    # one pass: every technique's intermediates are gated by CASE WHEN on the
+    # candidate's technique, so each row computes only its own technique
+    tech_of = (F.col("cand") / F.lit(m)).cast("bigint")
+    outs = []
     for t_i, tech in enumerate(enabled):
-        b = cands.where((F.col("cand") / F.lit(m)).cast("bigint") == t_i)
-        b = TECH_FN[tech](b, params[tech], seed)
-        branches.append(b.select("src_id", "copy_no", "label", "new_words"))
-    aug = branches[0]
-    for b in branches[1:]:
-        aug = aug.unionByName(b)
+        cands = TECH_FN[tech](cands, params[tech], seed, out=f"_new_{tech}", gate=tech_of == t_i)
+        outs.append(f"_new_{tech}")
+    aug = cands.select("src_id", "copy_no", "label", F.coalesce(*outs).alias("new_words"))
     aug = aug.select("src_id", F.lit("eda").alias("technique"), "copy_no",
                      T.clean_letters(F.array_join("new_words", " ")).alias("text"), "label",
                      F.lit(False).alias("is_original"))
@@ -199,11 +204,12 @@ def duck_tech(tech: str, alpha: float, seed: int):
         return [("_ins", ins), ("new_words", f"list_transform(list_sort(list_concat({orig}, _ins)), lambda x: x.w)")]
     if tech == "rs":
         srt = (f"list_sort(list_transform(range(0, n), lambda i: {{'h': "
-               f"{D.sql_sort_key('rs', seed, 'src_id', 'cand', 'i')}, 'i': i}}))[1:2 * {_nof(alpha)}]")
-        pm = ("map_from_entries(list_transform(_srt, lambda x, r: {'k': x.i, 'v': _srt[CASE WHEN (r - 1) % 2 = 0 "
-              "THEN r + 1 ELSE r - 1 END].i}))")
-        new = "CASE WHEN n < 2 THEN words ELSE list_transform(words, lambda w, j: coalesce(words[_pm[j - 1] + 1], w)) END"
-        return [("_srt", srt), ("_pm", pm), ("new_words", new)]
+               f"{D.sql_sort_key('rs', seed, 'src_id', 'cand', 'i')}, 'i': i}}))")
+        perm = (f"list_transform(list_sort(list_transform(_srt, lambda x, r: {{'pos': x.i, 'src': CASE WHEN r - 1 < "
+                f"2 * {_nof(alpha)} THEN _srt[CASE WHEN (r - 1) % 2 = 0 THEN r + 1 ELSE r - 1 END].i ELSE x.i END}})), "
+                f"lambda x: x.src)")
+        new = "CASE WHEN n < 2 THEN words ELSE list_transform(words, lambda w, j: words[_perm[j] + 1]) END"
+        return [("_srt", srt), ("_perm", perm), ("new_words", new)]
     if tech == "rd":
         kept = f"list_filter(words, lambda w, i: {D.sql_uniform('rd', seed, 'src_id', 'cand', 'i - 1')} > {alpha}::DOUBLE)"
         new = (f"CASE WHEN n = 1 THEN words WHEN len(_kept) = 0 THEN "

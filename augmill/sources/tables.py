@@ -45,6 +45,12 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences as augmentation rows: src_id = doc_id * 1e6 + line number."""
+    return sentences(spark, sf_dir).select(
+        (F.col("src_id") * F.lit(1000000) + F.col("sent_no")).alias("src_id"), "text", "label")
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = load(spark, sf_dir, "conversations")
     u = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("s1"))
@@ -73,3 +79,5 @@ DUCK_PAIRS = (
     "JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 "
     "WHERE u.role = 'user' AND a.role = 'assistant')"
 )
+
+DUCK_SENTENCE_ROWS = f"(SELECT src_id * 1000000 + sent_no AS src_id, text, label FROM {DUCK_SENTENCES})"

@@ -35,12 +35,14 @@ def lexicon_from_contexts(docs: DataFrame, k_context: int = 8, top: int = 8, tex
     """L3: returns (word, lemma, rank) with rank 1..top."""
     cc = context_triples(docs, text_col).groupBy("lft", "rgt", "word").agg(F.count(F.lit(1)).alias("cnt"))
     by_ctx = Window.partitionBy("lft", "rgt").orderBy(F.desc("cnt"), F.asc("word"))
-    typical = (
-        cc.withColumn("r", F.row_number().over(by_ctx)).where(F.col("r") <= k_context)
-        .select("lft", "rgt", F.col("word").alias("partner"))
-    )
+    # A context with a single distinct word can only pair a word with itself,
+    # and self pairs are dropped: pruning such contexts is exact.
+    ranked = (cc.withColumn("r", F.row_number().over(by_ctx))
+              .withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("lft", "rgt")))
+              .where(F.col("k") >= 2))
+    typical = ranked.where(F.col("r") <= k_context).select("lft", "rgt", F.col("word").alias("partner"))
     shared = (
-        cc.select("lft", "rgt", "word").join(typical, ["lft", "rgt"])
+        ranked.select("lft", "rgt", "word").join(typical, ["lft", "rgt"])
         .where(F.col("word") != F.col("partner"))
         .groupBy("word", "partner").agg(F.count(F.lit(1)).alias("shared"))
     )

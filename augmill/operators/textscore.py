@@ -31,25 +31,28 @@ def line_check(hyp: DataFrame, ref: DataFrame) -> DataFrame:
                  F.count(F.when(F.col("_r").isNull(), 1)).alias("missing_ref"))
 
 
-def _gram_counts(df: DataFrame, col: str, n_max: int, limit: int | None, out: str) -> DataFrame:
+def _grams(df: DataFrame, col: str, n_max: int, limit: int | None, side: int) -> DataFrame:
     w = F.slice(col, 1, limit) if limit else F.col(col)
+
     def tagged(n):
         return F.transform(ngrams(w, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
 
     grams = F.flatten(F.array(*[tagged(n) for n in range(1, n_max + 1)]))
-    ex = df.select("sid", F.explode(grams).alias("x")).select("sid", "x.n", "x.g")
-    return ex.groupBy("sid", "n", "g").agg(F.count(F.lit(1)).alias(out))
+    return df.select("sid", F.explode(grams).alias("x")).select("sid", "x.n", "x.g", F.lit(side).alias("side"))
 
 
 def overlap_by_n(pairs: DataFrame, n_max: int, limit: int | None = None) -> DataFrame:
-    """(sid, n, match, h_total, r_total): clipped overlap and gram totals per pair and order."""
-    h = _gram_counts(pairs, "h", n_max, limit, "hc")
-    r = _gram_counts(pairs, "r", n_max, limit, "rc")
-    m = h.join(r, ["sid", "n", "g"]).groupBy("sid", "n").agg(F.sum(F.least("hc", "rc")).alias("match"))
-    ht = h.groupBy("sid", "n").agg(F.sum("hc").alias("h_total"))
-    rt = r.groupBy("sid", "n").agg(F.sum("rc").alias("r_total"))
+    """(sid, n, match, h_total, r_total): clipped overlap and gram totals per
+    pair and order. Both sides' grams go through ONE aggregation keyed by
+    (sid, n, gram) with per-side counts (partial aggregation map-side), then a
+    second one per (sid, n); pairs without grams of an order get zeros."""
+    both = _grams(pairs, "h", n_max, limit, 0).unionByName(_grams(pairs, "r", n_max, limit, 1))
+    per_gram = both.groupBy("sid", "n", "g").agg(
+        F.count(F.when(F.col("side") == 0, 1)).alias("hc"), F.count(F.when(F.col("side") == 1, 1)).alias("rc"))
+    per_n = per_gram.groupBy("sid", "n").agg(
+        F.sum(F.least("hc", "rc")).alias("match"), F.sum("hc").alias("h_total"), F.sum("rc").alias("r_total"))
     base = pairs.select("sid", F.explode(F.sequence(F.lit(1), F.lit(n_max))).alias("n"))
-    return (base.join(ht, ["sid", "n"], "left").join(rt, ["sid", "n"], "left").join(m, ["sid", "n"], "left")
+    return (base.join(per_n, ["sid", "n"], "left")
             .select("sid", "n", F.coalesce("match", F.lit(0)).cast("bigint").alias("match"),
                     F.coalesce("h_total", F.lit(0)).cast("bigint").alias("h_total"),
                     F.coalesce("r_total", F.lit(0)).cast("bigint").alias("r_total")))

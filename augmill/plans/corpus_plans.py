@@ -156,7 +156,7 @@ def _duck_l2(v):
     + " * 2.0 - 1.0) * " + repr((3.0 / 64) ** 0.5) + ")::FLOAT))")}, 6) AS norm
   FROM voc v LEFT JOIN wv ON wv.word = v.word""")
 def q_embedding_init(spark, sf_dir):
-    vecs = C.word_vectors(TB.load(spark, sf_dir, "documents"), TB.load(spark, sf_dir, "embeddings"))
+    vecs = C.word_vectors(TB.documents(spark, sf_dir), TB.load(spark, sf_dir, "embeddings"))
     e = C.embedding_init(_voc(spark, sf_dir), vecs)
     return e.select("word", "idx", "known", F.round(C.l2(F.col("vec")), 6).alias("norm"))
 
@@ -170,7 +170,7 @@ _AVG = """av AS (SELECT conv_id, turn, side, list(x ORDER BY d) AS avg_vec, max(
 @register("average_vectors", f"""WITH {BASE_CTES}, {_VECS}, {_AVG}
   SELECT conv_id, turn, side, n_known, round({_duck_l2('avg_vec')}, 6) AS norm FROM av""")
 def q_average_vectors(spark, sf_dir):
-    vecs = C.word_vectors(TB.load(spark, sf_dir, "documents"), TB.load(spark, sf_dir, "embeddings"))
+    vecs = C.word_vectors(TB.documents(spark, sf_dir), TB.load(spark, sf_dir, "embeddings"))
     av = C.average_vectors(_sides(spark, sf_dir), vecs)
     return av.select("conv_id", "turn", "side", "n_known", F.round(C.l2(F.col("avg_vec")), 6).alias("norm"))
 
@@ -183,7 +183,7 @@ _DUCK_COS = ("CASE WHEN {l2a} * {l2b} > 0 THEN list_sum(list_transform(list_zip(
   SELECT a.conv_id, a.turn, round({_DUCK_COS.format(l2a=_duck_l2('a.avg_vec'), l2b=_duck_l2('b.avg_vec'))}, 6) AS cos
   FROM av a JOIN av b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.side = 1 AND b.side = 2""")
 def q_pair_cosine(spark, sf_dir):
-    vecs = C.word_vectors(TB.load(spark, sf_dir, "documents"), TB.load(spark, sf_dir, "embeddings"))
+    vecs = C.word_vectors(TB.documents(spark, sf_dir), TB.load(spark, sf_dir, "embeddings"))
     av = C.average_vectors(_sides(spark, sf_dir), vecs)
     a = av.where("side = 1").select("conv_id", "turn", F.col("avg_vec").alias("a"))
     b = av.where("side = 2").select("conv_id", "turn", F.col("avg_vec").alias("b"))

@@ -158,7 +158,7 @@ _DUCK_STS = f"""WITH {BASE_CTES}, {_VECS}, {_AVG},
 def q_sts_correlation(spark, sf_dir):
     """Pearson correlation of pair cosine (V9/V10) and token Jaccard gold."""
     sides = C.pair_sides(TB.pairs(spark, sf_dir))
-    vecs = C.word_vectors(TB.load(spark, sf_dir, "documents"), TB.load(spark, sf_dir, "embeddings"))
+    vecs = C.word_vectors(TB.documents(spark, sf_dir), TB.load(spark, sf_dir, "embeddings"))
     av = C.average_vectors(sides, vecs)
     a = av.where("side = 1").select("conv_id", "turn", F.col("avg_vec").alias("a"))
     b = av.where("side = 2").select("conv_id", "turn", F.col("avg_vec").alias("b"))

@@ -28,8 +28,25 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-repartition on ``key`` when the scan yields fewer partitions than
+    the cluster's parallelism (few large row groups), so CPU-heavy row-local
+    operators do not run in a handful of tasks. A scan of many files already
+    has enough splits and is returned unchanged (no extra shuffle)."""
+    if df.isStreaming:
+        return df
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(load(spark, sf_dir, "documents"), "doc_id")
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     labs = load(spark, sf_dir, "labels").select("doc_id", "quality")
     return docs.join(labs, "doc_id").select(
         F.col("doc_id").alias("src_id"), "text", F.col("quality").alias("label"), "lang", "source"
@@ -52,7 +69,7 @@ def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = load(spark, sf_dir, "conversations")
+    conv = spread(load(spark, sf_dir, "conversations"), "conv_id")
     u = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("s1"))
     a = conv.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("s2")

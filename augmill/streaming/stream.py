@@ -9,8 +9,6 @@ The stream side is a parquet folder of documents; labels are a static table
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +20,7 @@ from augmill.sources import tables as TB
 def labelled_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
     schema = TB.load(spark, sf_dir, "documents").schema
     docs = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .parquet(os.path.join(sf_dir, "documents.parquet")))
+            .option("pathGlobFilter", "documents*.parquet").parquet(sf_dir))
     labs = TB.load(spark, sf_dir, "labels").select("doc_id", "quality")
     return docs.join(labs, "doc_id").select(F.col("doc_id").alias("src_id"), "text",
                                             F.col("quality").alias("label"))

@@ -76,12 +76,12 @@ def split_keep_empty(text: Column) -> Column:
 
 def split_nonempty(text: Column) -> Column:
     """Split on single spaces, empty tokens dropped."""
-    return F.filter(F.split(text, " "), lambda w: w != "")
+    return F.array_remove(F.split(text, " "), "")
 
 
 def split_ws(text: Column) -> Column:
     """Split on runs of whitespace, no empty tokens (Python str.split())."""
-    return F.filter(F.split(text, WS_CLASS + "+"), lambda w: w != "")
+    return F.array_remove(F.split(text, WS_CLASS + "+"), "")
 
 
 def not_blank(text: Column) -> Column:

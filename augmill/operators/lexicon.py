@@ -32,20 +32,21 @@ def context_triples(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def lexicon_from_contexts(docs: DataFrame, k_context: int = 8, top: int = 8, text_col: str = "text") -> DataFrame:
-    """L3: returns (word, lemma, rank) with rank 1..top."""
+    """L3: returns (word, lemma, rank) with rank 1..top.
+
+    One window per context, sorted by (count desc, word asc), hands every
+    member row the context's first ``k_context`` words (``nth_value``) and
+    the context size; members then pair with those typical words (never with
+    themselves). No self join, no per-context list of all words."""
     cc = context_triples(docs, text_col).groupBy("lft", "rgt", "word").agg(F.count(F.lit(1)).alias("cnt"))
-    by_ctx = Window.partitionBy("lft", "rgt").orderBy(F.desc("cnt"), F.asc("word"))
-    # A context with a single distinct word can only pair a word with itself,
-    # and self pairs are dropped: pruning such contexts is exact.
-    ranked = (cc.withColumn("r", F.row_number().over(by_ctx))
-              .withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("lft", "rgt")))
-              .where(F.col("k") >= 2))
-    typical = ranked.where(F.col("r") <= k_context).select("lft", "rgt", F.col("word").alias("partner"))
-    shared = (
-        ranked.select("lft", "rgt", "word").join(typical, ["lft", "rgt"])
-        .where(F.col("word") != F.col("partner"))
-        .groupBy("word", "partner").agg(F.count(F.lit(1)).alias("shared"))
-    )
+    ctx = (Window.partitionBy("lft", "rgt").orderBy(F.desc("cnt"), F.asc("word"))
+           .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    typical = [F.nth_value("word", i).over(ctx) for i in range(1, k_context + 1)]
+    members = cc.select("word", F.count(F.lit(1)).over(ctx).alias("k"), F.array(*typical).alias("typ"))
+    # a context with a single distinct word can only pair a word with itself: exact pruning
+    partners = members.where(F.col("k") >= 2).select(
+        "word", F.explode(F.array_remove(F.array_compact("typ"), F.col("word"))).alias("partner"))
+    shared = partners.groupBy("word", "partner").agg(F.count(F.lit(1)).alias("shared"))
     by_word = Window.partitionBy("word").orderBy(F.desc("shared"), F.asc("partner"))
     return (
         shared.withColumn("rank", F.row_number().over(by_word).cast("bigint")).where(F.col("rank") <= top)

@@ -16,6 +16,7 @@ from augmill.operators import corpus as C
 from augmill.operators import eda as E
 from augmill.operators import textscore as G
 from augmill.plans.registry import register
+from augmill.session import cut_lineage
 from augmill.sources import tables as TB
 
 D = E.D
@@ -142,7 +143,8 @@ def q_meteor(spark, sf_dir):
     round(avg(rougel) * 100, 6) AS rougel, round(avg(meteor) * 100, 6) AS meteor
   FROM rn JOIN rl USING (sid) JOIN me USING (sid)""")
 def q_score_summary(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
+    # three metrics read the same pairs: materialise them once (shared checkpoint folder)
+    p = cut_lineage(_pairs(spark, sf_dir))
     j = G.rouge_n(p).join(G.rouge_l(p), "sid").join(G.meteor_exact(p), "sid")
     return j.agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("rouge1") * 100, 6).alias("rouge1"),
                  F.round(F.avg("rouge2") * 100, 6).alias("rouge2"), F.round(F.avg("rougel") * 100, 6).alias("rougel"),

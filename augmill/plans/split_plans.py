@@ -8,6 +8,7 @@ from augmill.functions import text as T
 from augmill.operators import splits as SP
 from augmill.operators.aeda import aeda, aeda_sql
 from augmill.plans.registry import register
+from augmill.session import cut_lineage
 from augmill.sources import tables as TB
 
 L = TB.DUCK_LABELLED
@@ -92,7 +93,10 @@ def _duck_leak(rel, policy):
 @register("leak_audit", f"{_duck_leak(_ROW_SPLIT, 'row')} UNION ALL {_duck_leak(_GROUP_SPLIT, 'group')}")
 def q_leak_audit(spark, sf_dir):
     aug = aeda(TB.labelled(spark, sf_dir), naug=NAUG)
-    key = F.md5(T.clean_letters(F.col("text")))
-    return SP.leak_audit(SP.row_split(aug), "row", key).unionByName(
-        SP.leak_audit(SP.group_split(aug), "group", key)
+    # the audit reads the augmented keys six times: materialise the narrow key
+    # table once in the shared checkpoint folder instead of re-running AEDA
+    keys = cut_lineage(aug.select("src_id", "copy_no", F.md5(T.clean_letters(F.col("text"))).alias("tkey")))
+    key = F.col("tkey")
+    return SP.leak_audit(SP.row_split(keys), "row", key).unionByName(
+        SP.leak_audit(SP.group_split(keys), "group", key)
     )

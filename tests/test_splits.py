@@ -47,3 +47,14 @@ def test_undersample_round_half_even(spark):
     df = spark.createDataFrame(rows, "src_id long, label int")
     out = {r.label: r["count"] for r in SP.undersample(df).groupBy("label").count().collect()}
     assert out[1] == round(25 / 10) == 2 and out[0] == 7
+
+
+def test_global_index_hot_key_runs(spark):
+    """A third of the rows share one key: runs of 4 ids still give the plain window."""
+    rows = [(i, "same" if i % 3 == 0 else f"t{i}", i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "sid long, text string, label int")
+    key = F.md5(F.col("text"))
+    a = global_index(df, ["label"], key, "sid", bucket_digits=1, id_range=4).select("sid", "idx")
+    w = Window.partitionBy("label").orderBy(key, "sid")
+    b = df.select("sid", (F.row_number().over(w) - 1).alias("idx"))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))

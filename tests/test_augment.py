@@ -69,3 +69,19 @@ def test_eda_combined_appends_cleaned_original(spark):
     orig = [r for r in out if r.is_original]
     assert len(orig) == 1 and orig[0].text == "a good film isnt it a bad film "
     assert len([r for r in out if not r.is_original]) == 2
+
+
+def test_dispatch_all_techniques(spark):
+    import pytest
+
+    from augmill.operators.augment import TECHNIQUES, augment
+
+    df = spark.createDataFrame([(1, "the good film was a good film today", 1), (2, "a bad film was bad", 0),
+                                (3, "the film was good", 1)], "src_id long, text string, label int")
+    for tech in TECHNIQUES:
+        out = augment(df, tech, naug=2)
+        assert out.columns == ["src_id", "technique", "copy_no", "text", "label", "is_original"]
+        assert out.where("is_original").count() >= 1
+        assert out.where("NOT is_original").count() >= 1
+    with pytest.raises(ValueError):
+        augment(df, "nope", naug=1)

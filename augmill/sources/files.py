@@ -26,9 +26,15 @@ def read_labelled_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -
     return df.select("text", "label")
 
 
+LEGACY_CHARSETS = {"windows-1252", "cp1252"}
+
+
 def read_positional_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", drop_short: bool = True) -> DataFrame:
-    """Header skipped, column 0 = text, column 1 = label. Windows-1252
-    input needs ``spark.sql.legacy.javaCharsets=true`` on Spark 4."""
+    """Header skipped, column 0 = text, column 1 = label. Spark 4 only
+    accepts Windows-1252 with ``spark.sql.legacy.javaCharsets=true``, which is
+    switched on for such input."""
+    if encoding.lower() in LEGACY_CHARSETS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
            .option("encoding", encoding).option("mode", "PERMISSIVE").csv(path))
     cols = raw.columns

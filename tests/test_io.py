@@ -73,3 +73,10 @@ def test_align_parallel(spark):
     t2 = spark.createDataFrame([(1, "X Y")], "k long, tags string")
     with pytest.raises(ValueError):
         FS.align_parallel(d, t2, "k")
+
+
+def test_positional_csv_windows_1252(spark, tmp_path):
+    p = tmp_path / "aeda.csv"
+    p.write_bytes("sentence,label\ncafé “quoted”,1\nshort\n".encode("cp1252"))
+    rows = FS.read_positional_csv(spark, str(p), encoding="windows-1252").collect()
+    assert [(r.text, r.label) for r in rows] == [("café “quoted”", "1")]

@@ -90,19 +90,22 @@ def tag_buckets(sides: DataFrame, voc: DataFrame, top_tags: int = 2) -> DataFram
 
 
 def tag_replace(sides: DataFrame, buckets: DataFrame, p: float = 0.1, seed: int = 0) -> DataFrame:
-    """Each token, with probability p, becomes a uniform word of its tag's bucket."""
+    """Each token, with probability p, becomes a uniform word of its tag's
+    bucket. Tokens are rows; the drawn ones meet the K-bounded (broadcast)
+    bucket tables; each side is re-collected in position order."""
     key = (F.col("conv_id"), F.col("turn"), F.col("side"))
-    ex = sides.select(*key, F.posexplode("toks").alias("pos", "word"))
-    ex = ex.where(D.uniform("tag_rep", seed, *key, F.col("pos")) < F.lit(float(p)))
-    ex = ex.withColumn("tag", suffix_tag(F.col("word")))
-    sizes = buckets.select("tag", "bucket_size").distinct()
-    ex = ex.join(F.broadcast(sizes), "tag")
+    ex = sides.select(*key, F.posexplode_outer("toks").alias("pos", "word"))
+    drawn = D.uniform("tag_rep", seed, *key, F.col("pos")) < F.lit(float(p))
+    ex = ex.withColumn("dtag", F.when(drawn, suffix_tag(F.col("word"))))
+    sizes = buckets.select(F.col("tag").alias("dtag"), "bucket_size").distinct()
+    ex = ex.join(F.broadcast(sizes), "dtag", "left")
     ex = ex.withColumn("slot", F.pmod(D.draw("tag_slot", seed, *key, F.col("pos")), F.col("bucket_size")))
-    hit = ex.join(F.broadcast(buckets.select("tag", "slot", F.col("word").alias("new"))), ["tag", "slot"])
-    subs = hit.groupBy("conv_id", "turn", "side").agg(F.map_from_entries(F.collect_list(F.struct("pos", "new"))).alias("_sub"))
-    out = sides.join(subs, ["conv_id", "turn", "side"], "left")
-    new = F.transform("toks", lambda t, i: F.coalesce(F.try_element_at("_sub", i), t))
-    return out.select("conv_id", "turn", "side", F.array_join(new, " ").alias("text"))
+    b = buckets.select(F.col("tag").alias("dtag"), "slot", F.col("word").alias("new"))
+    ex = ex.join(F.broadcast(b), ["dtag", "slot"], "left")
+    out = ex.groupBy("conv_id", "turn", "side").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("new", "word").alias("w")))), lambda x: x["w"]), " ")
+        .alias("text"))
+    return out
 
 
 def scramble(sides: DataFrame, p: float = 0.5, seed: int = 0) -> DataFrame:

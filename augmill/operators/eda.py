@@ -1,11 +1,12 @@
 """A1-A5 EDA: synonym replacement, random insertion, random swap, random
 deletion, and their combination.
 
-Plan: the row's distinct words are joined with the synonym table once
-(shuffle on word, or a broadcast when AQE finds the table small) and folded
-back into a per-row map ``smap`` (shuffle on src_id, bounded by the row's
-length). Every technique is then row-local: array higher-order functions over
-the row's words, with hash draws keyed by (src_id, candidate, position).
+Plan: the row's tokens are joined with the synonym table once (shuffle on
+word, or a broadcast when AQE finds the table small) and re-collected in
+order into ``syn_at``, aligned with the words (shuffle on src_id, bounded by
+the row's length). Every technique is then row-local: array higher-order
+functions over the row's words with positional access, and hash draws keyed
+by (src_id, candidate, position).
 Intermediates that a lambda reads are put behind a one-row Generate
 (:func:`barrier`) so Catalyst does not re-evaluate them per element.
 
@@ -26,16 +27,22 @@ TECHS = ["sr", "ri", "rs", "rd"]
 
 
 def prepare(df: DataFrame, syn: DataFrame) -> DataFrame:
-    """(src_id, text, label) -> + ctext, words, n, smap (word -> synonyms)."""
+    """(src_id, text, label) -> + ctext, words, n, syn_at.
+
+    ``syn_at`` is aligned with ``words``: the synonym list of the word at each
+    position, or NULL. It comes from one token-level join with the synonym
+    table and one ordered re-collect per row, so the techniques read synonyms
+    by position in O(1) instead of scanning a per-row map (Spark map lookups
+    are linear scans)."""
     rows = df.select("src_id", "text", "label").withColumn("ctext", T.clean_letters(F.col("text")))
     rows = rows.withColumn("words", T.split_nonempty(F.col("ctext"))).withColumn("n", F.size("words").cast("bigint"))
-    distinct_words = rows.select("src_id", F.explode(F.array_distinct("words")).alias("word"))
-    hits = (
-        distinct_words.join(syn.select("word", "syns"), "word")
+    toks = rows.select("src_id", F.posexplode("words").alias("pos", "word"))
+    aligned = (
+        toks.join(syn.select("word", "syns"), "word", "left")
         .groupBy("src_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "syns"))).alias("smap"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "syns"))), lambda x: x["syns"]).alias("syn_at"))
     )
-    return rows.join(hits, "src_id", "left")
+    return rows.join(aligned, "src_id", "left")
 
 
 def _gated(gate, expr):
@@ -48,22 +55,21 @@ def _n_of(alpha: float) -> Column:
 
 def synonym_replacement(df: DataFrame, alpha: float, seed: int, out: str = "new_words", gate=None) -> DataFrame:
     """A1: the n first (by hash) distinct non-stop words that have synonyms are
-    replaced everywhere by one hash-drawn synonym each."""
+    replaced everywhere by one hash-drawn synonym each. The n-th smallest word
+    hash is a threshold, so each position decides on its own (linear)."""
     key = (F.col("src_id"), F.col("cand"))
-    df = barrier(df, _chosen=_gated(gate, F.slice(
-        F.array_sort(F.transform(
-            F.filter(F.array_distinct("words"),
-                     lambda w: (~T.is_stop(w)) & F.try_element_at("smap", w).isNotNull()),
-            lambda w: F.struct(D.sort_key("sr", seed, *key, w).alias("h"), w.alias("w")))),
-        1, _n_of(alpha).cast("int"))))
-    df = barrier(df, _repl=_gated(gate, F.map_from_entries(F.transform("_chosen", lambda x: F.struct(
-        x["w"].alias("k"),
-        F.element_at(F.try_element_at("smap", x["w"]),
-                     (F.pmod(D.draw("sr_pick", seed, *key, x["w"]), F.size(F.try_element_at("smap", x["w"]))) + 1)
-                     .cast("int")).alias("v"))))))
-    new = F.transform("words", lambda w: F.coalesce(F.try_element_at("_repl", w), w))
+    pairs = F.arrays_zip(F.col("words").alias("w"), F.col("syn_at").alias("s"))
+    cand_h = F.array_sort(F.array_distinct(F.transform(
+        F.filter(pairs, lambda x: (~T.is_stop(x["w"])) & x["s"].isNotNull()),
+        lambda x: D.sort_key("sr", seed, *key, x["w"]))))
+    df = barrier(df, _thr=_gated(gate, F.when(F.size(cand_h) > 0, F.element_at(
+        cand_h, F.least(F.size(cand_h), _n_of(alpha).cast("int"))))))
+    new = F.transform(pairs, lambda x: F.when(
+        x["s"].isNotNull() & ~T.is_stop(x["w"]) & (D.sort_key("sr", seed, *key, x["w"]) <= F.col("_thr")),
+        F.element_at(x["s"], (F.pmod(D.draw("sr_pick", seed, *key, x["w"]), F.size(x["s"])) + 1).cast("int")))
+        .otherwise(x["w"]))
     new = F.flatten(F.transform(new, lambda x: F.split(x, " ")))
-    return df.withColumn(out, _gated(gate, new)).drop("_chosen", "_repl")
+    return df.withColumn(out, _gated(gate, new)).drop("_thr")
 
 
 def random_insertion(df: DataFrame, alpha: float, seed: int, out: str = "new_words", gate=None) -> DataFrame:
@@ -73,8 +79,8 @@ def random_insertion(df: DataFrame, alpha: float, seed: int, out: str = "new_wor
     n = F.col("n")
 
     def found(k):
-        tries = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda d: F.try_element_at(
-            "smap", F.element_at("words", (F.pmod(D.draw("ri_word", seed, *key, k, d), n) + 1).cast("int"))))
+        tries = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda d: F.element_at(
+            "syn_at", (F.pmod(D.draw("ri_word", seed, *key, k, d), n) + 1).cast("int")))
         return F.get(F.get(F.filter(tries, lambda s: s.isNotNull()), 0), 0)
 
     df = barrier(df, _ins=_gated(gate, F.filter(F.transform(

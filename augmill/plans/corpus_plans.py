@@ -94,9 +94,10 @@ def q_tag_buckets(spark, sf_dir):
   ex2 AS (SELECT *, {_tag('word')} AS tag FROM ex
           WHERE {C.D.sql_uniform('tag_rep', 0, 'conv_id', 'turn', 'side', 'pos')} < 0.1::DOUBLE),
   sz AS (SELECT DISTINCT tag, bucket_size FROM bk),
-  hit AS (SELECT e.conv_id, e.turn, e.side, e.pos, b.word AS new FROM ex2 e JOIN sz ON sz.tag = e.tag
-          JOIN bk b ON b.tag = e.tag AND b.slot = {C.D.sql_draw('tag_slot', 0, 'e.conv_id', 'e.turn', 'e.side', 'e.pos')}
-          % sz.bucket_size),
+  ex3 AS (SELECT e.*, {C.D.sql_draw('tag_slot', 0, 'e.conv_id', 'e.turn', 'e.side', 'e.pos')} % sz.bucket_size AS slot
+          FROM ex2 e JOIN sz ON sz.tag = e.tag),
+  hit AS (SELECT e.conv_id, e.turn, e.side, e.pos, b.word AS new FROM ex3 e
+          JOIN bk b ON b.tag = e.tag AND b.slot = e.slot),
   subs AS (SELECT conv_id, turn, side, map_from_entries(list({{'k': pos, 'v': new}})) AS _sub FROM hit GROUP BY ALL)
   SELECT s.conv_id, s.turn, s.side, array_to_string(list_transform(toks, lambda t, i: coalesce(_sub[i - 1], t)), ' ')
     AS text FROM sides s LEFT JOIN subs ON s.conv_id = subs.conv_id AND s.turn = subs.turn AND s.side = subs.side""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from augmill.functions import text as T
 from augmill.operators import corpus as C
 from augmill.plans.registry import register
+from augmill.session import cut_lineage
 from augmill.sources import tables as TB
 
 _LS = "lower(regexp_replace({x}, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g'))"
@@ -137,7 +138,7 @@ def q_batches(spark, sf_dir):
     array_to_string(list_concat(list_transform(ids, lambda x: 1::BIGINT), pad), ' ') AS mask,
     array_to_string(list_concat([1::BIGINT], ids, [2::BIGINT], pad), ' ') AS target FROM e2""")
 def q_pad_batches(spark, sf_dir):
-    enc = _enc(spark, sf_dir)
+    enc = cut_lineage(_enc(spark, sf_dir))  # read twice (batch ids, padding)
     return C.pad_batches(enc, C.batches(enc))
 
 

@@ -35,8 +35,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     has enough splits and is returned unchanged (no extra shuffle)."""
     if df.isStreaming:
         return df
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access (e.g. Spark Connect)
+        return df
+    if current >= target:
         return df
     return df.repartition(target, key)
 

@@ -190,3 +190,14 @@ def q_pair_cosine(spark, sf_dir):
     a = av.where("side = 1").select("conv_id", "turn", F.col("avg_vec").alias("a"))
     b = av.where("side = 2").select("conv_id", "turn", F.col("avg_vec").alias("b"))
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(C.cosine(F.col("a"), F.col("b")), 6).alias("cos"))
+
+
+@register("embedding_coverage", f"""WITH {BASE_CTES}, {_VECS}
+  SELECT count(*)::BIGINT AS n_vocab, count(wv.word)::BIGINT AS n_known,
+    round(count(wv.word) / count(*), 6) AS coverage FROM voc v LEFT JOIN wv ON wv.word = v.word""")
+def q_embedding_coverage(spark, sf_dir):
+    """V6 report: vocabulary words initialised from the vector table."""
+    vecs = C.word_vectors(TB.documents(spark, sf_dir), TB.load(spark, sf_dir, "embeddings"))
+    e = C.embedding_init(_voc(spark, sf_dir), vecs)
+    return e.agg(F.count(F.lit(1)).alias("n_vocab"), F.count(F.when(F.col("known"), 1)).alias("n_known"),
+                 F.round(F.count(F.when(F.col("known"), 1)) / F.count(F.lit(1)), 6).alias("coverage"))

@@ -121,23 +121,27 @@ def rouge_l(pairs: DataFrame, limit: int = 40) -> DataFrame:
 
 def meteor_exact(pairs: DataFrame) -> DataFrame:
     """G5 (exact-match stage): the k-th occurrence of a word in the hypothesis
-    aligns with its k-th occurrence in the reference; recall-weighted F-mean
-    with the fragmentation penalty 0.5 * (chunks / matches)^3."""
-    occ = F.transform("h", lambda w, i: F.size(F.filter(F.slice("h", 1, i + 1), lambda x: x == w)))
-    d = pairs.withColumn("_occ", occ)
-    rpos = F.transform(F.arrays_zip(F.col("h").alias("w"), F.col("_occ").alias("k")), lambda z: F.try_element_at(
-        F.filter(F.sequence(F.lit(1), F.greatest(F.size("r"), F.lit(1))), lambda j: F.try_element_at("r", j) == z["w"]),
-        z["k"]))
-    d = barrier(d, _rp=rpos)
-    m = F.size(F.filter("_rp", lambda x: x.isNotNull()))
-    starts = F.size(F.filter(F.transform("_rp", lambda j, i: F.when(
-        j.isNotNull() & ~F.coalesce(F.when(i > 0, F.element_at("_rp", i) == j - 1), F.lit(False)), 1)),
-        lambda x: x.isNotNull()))
-    d = d.select("sid", m.cast("bigint").alias("matches"), starts.cast("bigint").alias("chunks"),
-                 F.size("h").alias("nh"), F.size("r").alias("nr"))
+    aligns with its k-th occurrence in the reference (equi-join on
+    (sid, word, k)); a chunk starts at an aligned position whose predecessor
+    in the hypothesis is not aligned to the preceding reference position
+    (``lag`` window). Recall-weighted F-mean with penalty 0.5 * (chunks /
+    matches)^3. Linear in the text: token rows, windows bounded by one pair."""
+    h = pairs.select("sid", F.posexplode("h").alias("hp", "w"))
+    r = pairs.select("sid", F.posexplode("r").alias("rp", "w"))
+    h = h.withColumn("k", F.row_number().over(Window.partitionBy("sid", "w").orderBy("hp")))
+    r = r.withColumn("k", F.row_number().over(Window.partitionBy("sid", "w").orderBy("rp")))
+    al = h.join(r, ["sid", "w", "k"])
+    by_h = Window.partitionBy("sid").orderBy("hp")
+    al = al.withColumn("ph", F.lag("hp").over(by_h)).withColumn("pr", F.lag("rp").over(by_h))
+    cont = (F.col("ph") == F.col("hp") - 1) & (F.col("pr") == F.col("rp") - 1)
+    per = al.groupBy("sid").agg(F.count(F.lit(1)).alias("m"),
+                                F.sum(F.when(F.coalesce(cont, F.lit(False)), 0).otherwise(1)).alias("c"))
+    d = pairs.select("sid", F.size("h").alias("nh"), F.size("r").alias("nr")).join(per, "sid", "left")
+    d = d.select("sid", "nh", "nr", F.coalesce("m", F.lit(0)).cast("bigint").alias("matches"),
+                 F.coalesce("c", F.lit(0)).cast("bigint").alias("chunks"))
     p = F.col("matches") / F.col("nh")
-    r = F.col("matches") / F.col("nr")
-    fmean = 10 * p * r / (r + 9 * p)
+    rc = F.col("matches") / F.col("nr")
+    fmean = 10 * p * rc / (rc + 9 * p)
     pen = 0.5 * F.pow(F.col("chunks") / F.col("matches"), 3)
     return d.select("sid", "matches", "chunks",
                     F.when(F.col("matches") > 0, fmean * (1 - pen)).otherwise(F.lit(0.0)).alias("meteor"))

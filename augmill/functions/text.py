@@ -33,10 +33,6 @@ WS_CLASS = "[ \\t\\n\\x0B\\f\\r]"
 NON_WS_CLASS = "[^ \\t\\n\\x0B\\f\\r]"
 
 
-def sql_str_array(values) -> str:
-    return "array(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
-
-
 def duck_str_list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 

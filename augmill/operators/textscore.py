@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from augmill.functions import text as T
 from augmill.operators.common import barrier
 
 
@@ -223,5 +222,3 @@ def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, inter / union)
 
-
-__all__ = ["T"]

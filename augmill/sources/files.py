@@ -12,9 +12,6 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LABELLED_SCHEMA = "text STRING, label STRING"
-
-
 def read_labelled_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Header CSV with ``text`` and ``label`` columns (quotes, embedded
     newlines, BOM handled); fails fast when a column is missing."""

@@ -1,7 +1,6 @@
 """Sources and sinks (S-rows) on small files written to the test's own folder."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from augmill.sources import files as FS
 

@@ -38,6 +38,7 @@ def token_counts(sides: DataFrame) -> DataFrame:
 def vocab(sides: DataFrame, k: int = 50000) -> DataFrame:
     """V1+V2: top-k words get index rank+3; 0/1/2 are reserved."""
     top = token_counts(sides).orderBy(F.desc("cnt"), F.asc("first")).limit(k)
+    # the unpartitioned window only sees the k survivors of the top-k (bounded by k)
     ranked = top.withColumn("idx", (F.row_number().over(Window.orderBy(F.desc("cnt"), F.asc("first"))) + 2).cast("bigint"))
     specials = sides.sparkSession.createDataFrame(SPECIALS, "word string, idx bigint")
     return ranked.select("word", "idx").unionByName(specials)

@@ -40,7 +40,8 @@ def global_index(
     keyed = keyed.withColumn("_run", run.cast("bigint"))
     grp = [F.col(c) for c in group_cols]
 
-    # level 1: bucket offsets within the group
+    # level 1: bucket offsets within the group (a window over at most
+    # 16^bucket_digits count rows per group, also when the group is the table)
     b_counts = keyed.groupBy(*group_cols, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
     before_b = Window.partitionBy(*grp).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     b_off = b_counts.withColumn("_off_b", F.coalesce(F.sum("_cnt").over(before_b), F.lit(0)))

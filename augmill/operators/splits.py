@@ -32,6 +32,7 @@ def label_index(df: DataFrame, order_col: str = "src_id") -> DataFrame:
     """Labels numbered by first appearance (smallest ``order_col``).
     The aggregated table has one row per label; the join is left to AQE."""
     first = df.groupBy("label").agg(F.min(order_col).alias("_first"))
+    # one row per label: the unpartitioned window is bounded by the label count
     first = first.withColumn("label_idx", (F.row_number().over(Window.orderBy("_first", "label")) - 1).cast("bigint"))
     return df.join(first.select("label", "label_idx"), "label")
 

@@ -85,3 +85,17 @@ def test_dispatch_all_techniques(spark):
         assert out.where("NOT is_original").count() >= 1
     with pytest.raises(ValueError):
         augment(df, "nope", naug=1)
+
+
+def test_geca_cumulative_carries_earlier_rounds(spark):
+    from augmill.operators.geca import geca
+
+    lex = spark.createDataFrame([("good", "fine"), ("good", "great"), ("film", "movie"), ("bad", "poor"),
+                                 ("day", "time")], "word string, lemma string")
+    syn = LX.geca_synonyms(lex)
+    df = spark.createDataFrame([(1, "a good film on a bad day is a good film", 1)], "src_id long, text string, label int")
+    ind = {r.copy_no: r.text for r in geca(df, syn, naug=3).collect()}
+    cum = {r.copy_no: r.text for r in geca(df, syn, naug=3, cumulative=True).collect()}
+    assert cum[0] == ind[0] and cum[1] == ind[1]
+    changed = lambda t: {i for i, (a, b) in enumerate(zip(t.split(), ind[0].split())) if a != b}
+    assert changed(ind[1]) <= changed(cum[2]) and changed(ind[2]) <= changed(cum[2])

@@ -1,4 +1,4 @@
 """Import every operator so that its query registers."""
 
-from . import bpe, decontaminate, html_text, quality, token_counts, toxicity, warc  # noqa: F401
+from . import bpe, decontaminate, html_text, quality, syncmers, token_counts, toxicity, warc  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

@@ -5,9 +5,11 @@ word's BM25 weight in the item over the item's own total, so that a passage hold
 whole item scores 1. Items longer than the passage step can show only a part of
 themselves at once, so their total is scaled to that part. Every stretch of a document is
 a query: passages of ``PASSAGE`` words that begin every ``STEP`` words, so that any ``STEP``
-words in a row lie within one. A passage that lacks every *essential* word can't reach
-the threshold for any item and needs no search; the others go through block-max WAND, which
-finds all items at or above ``THRESHOLD``.
+words in a row lie within one. An item's *essential* words are its rarest, so many that its
+others weigh less than ``COMMON`` together: a passage can reach the threshold for the item
+only if its essential words there weigh ``THRESHOLD - COMMON``. The lists of essential words
+are added up for all passages at once; those that some item can still reach go through
+block-max WAND over the whole lists, which finds all items at or above ``THRESHOLD``.
 Each hit is verified: of the item's question and of its answer (the last sentence; the
 second half, if there is one sentence), the share of word 3-grams that the passage and
 ``STEP`` words around it hold must reach ``OVERLAP``.
@@ -42,6 +44,7 @@ from .registry import register
 PASSAGE, STEP = 160, 80
 THRESHOLD = 0.6
 OVERLAP = 0.5
+COMMON = 0.35
 K1, B = 1.2, 0.75
 BLOCK_TERMS = 2_000_000
 #: Postings of a block of a list, for its maximum.
@@ -93,19 +96,22 @@ class Index:
             q, a = question_answer(t)
             self.needs.append((len(q), grams(q), len(a), grams(a)))
         post: dict[int, list[tuple[int, float]]] = {}
-        essential: set[int] = set()
+        essential: dict[int, list[tuple[int, float]]] = {}
         for k, (w, impact, _) in enumerate(lists):
             for word, x in zip(w.tolist(), impact.tolist(), strict=True):
                 post.setdefault(word, []).append((k, x))
-        for w, impact, idf in lists:  # rarest words first, until the rest can't reach the threshold
+        for k, (w, impact, idf) in enumerate(lists):
             rest = float(impact.sum())
             for i in np.lexsort((w, -idf)):
-                if rest < THRESHOLD:
+                if rest < COMMON:
                     break
-                essential.add(int(w[i]))
+                essential.setdefault(int(w[i]), []).append((k, float(impact[i])))
                 rest -= float(impact[i])
         self.keys = np.array(sorted(post), np.uint64)
-        self.essential = np.array([int(k) in essential for k in self.keys], bool)
+        rare = [essential.get(k, []) for k in self.keys.tolist()]
+        self.rare = np.concatenate([[0], np.cumsum([len(x) for x in rare])]).astype(np.int64)
+        self.rare_item = np.array([i for x in rare for i, _ in x], np.int64)
+        self.rare_impact = np.array([v for x in rare for _, v in x])
         self.lists = []
         for k in self.keys.tolist():
             items, impacts = zip(*post[k], strict=True)
@@ -126,6 +132,17 @@ class Index:
         ok = self.keys[k] == h[at]
         return at[ok], k[ok]
 
+    def reachable(self, block: np.ndarray, term: np.ndarray, least: float) -> np.ndarray:
+        """Blocks of words that, with the block after, hold essential words of ``least`` weight of some item."""
+        lists = self.rare[term + 1] - self.rare[term]
+        where = np.repeat(np.arange(len(term)), lists)
+        post = np.arange(len(where)) - np.repeat(np.cumsum(lists) - lists, lists) + self.rare[term][where]
+        key, at = np.unique(block[where] * len(self.ids) + self.rare_item[post], return_inverse=True)
+        weight = np.bincount(at, self.rare_impact[post], minlength=len(key))
+        after = np.searchsorted(key, key + len(self.ids))
+        more = np.where(key[np.minimum(after, len(key) - 1)] == key + len(self.ids), weight[np.minimum(after, len(key) - 1)], 0) if len(key) else weight
+        return np.unique(key[weight + more >= least] // max(len(self.ids), 1))
+
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose impacts over ``terms`` sum to the threshold at least, by block-max WAND."""
         end, out = len(self.ids), []
@@ -216,18 +233,18 @@ def _search_rows(index: Index, data: np.ndarray, offs: np.ndarray, threshold: fl
     """(row, item, score, question overlap, answer overlap, first word) of a chunk of texts, the best passage of each."""
     h, row = words(data, offs)
     at, term = index.terms(h)
-    hot = at[index.essential[term]]
-    if not len(hot):
+    if not len(at):
         return
     first = np.searchsorted(row, np.arange(len(offs)))
-    inside = hot - first[row[hot]]
-    passages = set()
-    for back in range(PASSAGE // STEP):
-        p = inside // STEP - back
-        passages.update(zip(row[hot][p >= 0].tolist(), p[p >= 0].tolist(), strict=True))
+    # words in blocks of STEP, an empty block after each row; a passage is a block and the one after
+    blocks = -(-np.diff(first) // STEP) + 1
+    start = np.cumsum(blocks) - blocks
+    block = start[row[at]] + (at - first[row[at]]) // STEP
+    passages = index.reachable(block, term, threshold - COMMON - 1e-9)
+    owner = np.searchsorted(start, passages, "right") - 1
     best: dict[tuple[int, int], tuple] = {}
-    for r, p in sorted(passages):
-        lo = int(first[r]) + p * STEP
+    for r, p in zip(owner.tolist(), passages.tolist(), strict=True):
+        lo = int(first[r] + (p - start[r]) * STEP)
         hi = min(lo + PASSAGE, int(first[r + 1]))
         a, b = np.searchsorted(at, (lo, hi))
         known = np.unique(term[a:b])

@@ -107,28 +107,38 @@ def id_range(docs: DataFrame) -> Column:
     return F.coalesce(part * parts + inside, F.lit(-1)).cast("bigint")
 
 
-def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """Add ``next_<column>`` of the row that follows by ascending id, of the first row after the last.
-    Of a range only its number and smallest id reach the window over all ranges."""
-    rows = docs.withColumn("range", id_range(docs))
-    heads = rows.groupBy("range").agg(F.min("id").alias("id"))
-    # the head of the following range is a guest of this one; the first range's head follows the last
+#: Up to so many ranges their heads, 24 bytes each, are broadcast to find the guests; beyond, the join shuffles.
+BROADCAST_RANGES = 100_000
+
+
+def with_guests(docs: DataFrame) -> DataFrame:
+    """Number the ranges of (id, text) and add to each the row that follows it, as a guest: the first
+    row of the next range, after the last that of the first. Only numbers and smallest ids
+    reach the window over all ranges."""
+    ranged = docs.withColumn("range", id_range(docs))
+    heads = ranged.groupBy("range").agg(F.min("id").alias("id"))
     order = Window.orderBy(F.desc("range"))
     links = heads.select(F.col("id").alias("head"), F.col("range").alias("of"), F.lead("range").over(order).alias("to"),
                          F.max("range").over(Window.partitionBy()).alias("last"))
     links = links.select("head", "of", F.coalesce("to", "last").alias("to"))
-    guests = rows.join(links, rows["id"].eqNullSafe(links["head"]) & (rows["range"] == links["of"])).select(
+    if heads.count() <= BROADCAST_RANGES:
+        links = F.broadcast(links)
+    guests = ranged.join(links, (ranged["range"] == links["of"]) & ranged["id"].eqNullSafe(links["head"])).select(
         *docs.columns, F.col("to").alias("range"), F.lit(True).alias("guest"))
-    both = rows.withColumn("guest", F.lit(False)).unionByName(guests)
+    return ranged.withColumn("guest", F.lit(False)).unionByName(guests)
+
+
+def with_next(rows: DataFrame, carry: list[str]) -> DataFrame:
+    """Add ``next_<column>`` of the row that follows in the range."""
     w = Window.partitionBy("range").orderBy("guest", "id", "text")
-    return both.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carry)).where(~F.col("guest")).drop("guest", "range")
+    return rows.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carry)).where(~F.col("guest")).drop("guest", "range")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Per document: its fingerprint, that of the text whose second half is replaced by the next
     document's beginning, and how alike they are."""
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_anchors(rows, "text", "own"), ["text", "own"])
+    rows = with_next(with_anchors(with_guests(rows), "text", "own"), ["text", "own"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = _once(rows.withColumn("n_chars", n.cast("long")), "edited",

@@ -2,9 +2,12 @@
 
 1. Every text becomes its set of hashed word n-grams; texts with equal sets are one class
    from here on, represented by the smallest id.
-2. All n-grams get one order, rarer ones first (by counts over all texts, see ``frequent``),
-   equals by hash. Linked sets share an n-gram among the first n - ceil(t n) + 1 of each,
-   so only classes that share such a *leading* n-gram with another go on.
+2. Linked sets differ in at most d = n - ceil(t n) n-grams of either. Of every set a hashed
+   sample of all n-grams, twice that share, is listed (and if it has no more than d, the
+   next by hash, up to d + 1). An n-gram of the sample that no other class lists is in no
+   other class, so a class with more than d such n-grams links with nothing and is done.
+   The others have *leading* n-grams: their first d + 1 in the order of the sample, rarest
+   first, then the rest by hash. Linked classes share a leading n-gram.
 3. Such classes are partitioned into groups of about ``GROUP`` members by their smallest
    shared leading n-gram; a larger group is dealt out by hash. The token-group matrix says
    which leading n-grams occur in which group; each group also has the union of its members'
@@ -18,8 +21,7 @@
    pair between different components that can link is left out.
 5. Links make components (``components.py``).
 
-The order of step 2 affects the cost only. Groups that many classes ask are split by hash
-of the asking class.
+Groups that many classes ask are split by hash of the asking class.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is a
 component of its own; a text of fewer than n words has its whole sequence as one n-gram;
@@ -33,7 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from augmill.sources.tables import load, spread
@@ -44,8 +46,6 @@ from .registry import register
 
 GROUP = 64
 ASKING = 1_000
-#: N-grams that get a place by frequency, at most: 9 bytes each, broadcast.
-FREQUENT = 1_000_000
 #: Candidate classes up to which their ids (8 bytes each) are broadcast to the scan of the texts.
 BROADCAST_IDS = 2_000_000
 
@@ -80,36 +80,16 @@ def ngram_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray,
     return r[new], g[new]
 
 
-def frequent(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent n-grams, ascending, and their rank classes (log2 of their counts). Stretches
-    of 16 MB of text report what occurs in four of their texts; of that, the n-grams with a
-    share of the total that ``FREQUENT`` n-grams at most can have are kept."""
+def _sampled(percent: int) -> int:
+    """N-grams whose hash modulo 100 is below this are the sample."""
+    return min(100, 2 * (100 - percent))
 
-    def work(batches):
-        for batch in batches:
-            data, offs = text_buffer(batch.column(1))
-            for lo, hi in chunks(offs, 1 << 24):
-                _, g = ngram_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], n)
-                g, c = np.unique(g, return_counts=True)
-                keep = c >= 4
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(g[keep].view(np.int64), 0)), pa.array(np.append(c[keep], 0)),
-                                                  pa.array(np.append(np.zeros(keep.sum(), np.int64), c.sum()))], names=["g", "c", "total"])
-
-    counted = stored(texts.mapInArrow(work, "g bigint, c bigint, total bigint"), "ngram-counts")
-    total = counted.agg(F.sum("total")).first()[0] or 0
-    least = max(64, -(-total // FREQUENT))
-    top = counted.where("c > 0").groupBy("g").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toPandas()
-    g = top["g"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(g)
-    return g[order], np.log2(top["c"].to_numpy(float)[order]).astype(np.uint8) if len(top) else np.empty(0, np.uint8)
-
-
-def _describe(texts: DataFrame, n: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, n, s1, s2, lead): size, digest and leading n-grams of every row's set."""
-    sent = texts.sparkSession.sparkContext.broadcast(common)
+
+def _describe(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(id, n, s1, s2, listed): size, digest and listed n-grams of every row's set."""
+    limit = np.uint64(_sampled(percent))
 
     def work(batches):
-        keys, rank = sent.value
         for batch in batches:
             data, offs = text_buffer(batch.column(1))
             for lo, hi in chunks(offs):
@@ -118,19 +98,35 @@ def _describe(texts: DataFrame, n: int, percent: int, common: tuple[np.ndarray,
                 at = np.concatenate([[0], np.cumsum(size)])
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(g ^ np.uint64(x)))]) for x in (11, 12345678901)]
                 s1, s2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
-                cls = np.zeros(len(g), np.uint8)
-                if len(keys) and len(g):
-                    k = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-                    cls = np.where(keys[k] == g, rank[k], 0)
-                order = np.lexsort((g, cls, r))
-                lead = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
-                within = np.arange(len(g)) - np.repeat(at[:-1], size)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lead)]), pa.int32()),
-                                                 pa.array(g[order][within < np.repeat(lead, size)].view(np.int64)))
+                inside = g % np.uint64(100) < limit
+                sampled = np.bincount(r[inside], minlength=hi - lo)
+                spare = size - -(-percent * size // 100)  # d
+                before = np.concatenate([[0], np.cumsum(~inside)])
+                nth = before[:-1] - before[at[:-1]][r]  # place among the row's others; they ascend by hash
+                keep = inside | (nth < (spare + 1 - sampled)[r])
+                listed = np.bincount(r[keep], minlength=hi - lo)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(listed)]), pa.int32()), pa.array(g[keep].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(s1), pa.array(s2), lists],
-                                                 names=["id", "n", "s1", "s2", "lead"])
+                                                 names=["id", "n", "s1", "s2", "listed"])
+
+    return texts.mapInArrow(work, "id bigint, n bigint, s1 bigint, s2 bigint, listed array<bigint>")
+
 
-    return texts.mapInArrow(work, "id bigint, n bigint, s1 bigint, s2 bigint, lead array<bigint>")
+def _leading(classes: DataFrame, percent: int) -> DataFrame:
+    """(id, n, g, classes): the leading n-grams of candidate classes that other classes list too."""
+    # unsigned remainder of the hash, as in _describe: 2^64 is 16 modulo 100
+    remainder = F.pmod(F.pmod("g", F.lit(100)) + F.when(F.col("g") < 0, 16).otherwise(0), F.lit(100))
+    spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    lists = classes.select("id", "n", F.explode("listed").alias("g"))
+    count = lists.groupBy("g").agg(F.count("*").alias("classes")).where("classes > 1")
+    shared = lists.join(count, "g").withColumn("sampled", remainder < _sampled(percent))
+    w = Window.partitionBy("id")  # a window is one class, its rows a part of its own set
+    shared = shared.withColumn("k", F.sum(F.col("sampled").cast("int")).over(w)).withColumn(
+        "place", F.row_number().over(w.orderBy(F.desc("sampled"), "classes", "g")))
+    size = classes.select("id", F.size(F.filter("listed", lambda x: F.pmod(F.pmod(x, F.lit(100)) + F.when(x < 0, 16).otherwise(0), F.lit(100))
+                                                < _sampled(percent))).alias("all"))
+    alone = shared.join(size, "id").withColumn("alone", F.col("all") - F.col("k")).where(F.col("alone") <= spare)
+    return alone.where(~F.col("sampled") | (F.col("place") <= spare + 1 - F.col("alone"))).select("id", "n", "g", "classes")
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
@@ -210,14 +206,13 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     """(doc_id, n_shingles, component_id): every row, with the smallest id that links of at least
     ``percent`` per cent reach."""
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = stored(_describe(texts, n, percent, frequent(texts, n)), "ngram-rows")
-    classes = stored(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id")).where("id IS NOT NULL"), "classes")
-    lead = rows.join(classes, ["id", "s1", "s2"], "left_semi").select("id", "n", F.explode("lead").alias("g")).distinct()
-    shared = lead.groupBy("g").agg(F.count("*").alias("classes")).where("classes > 1").select("g")
-    shared = stored(lead.join(shared, "g"), "leads")
+    rows = stored(_describe(texts, n, percent), "ngram-rows")
+    classes = rows.where("n > 0").groupBy("s1", "s2").agg(
+        F.min("id").alias("id"), F.first("n").alias("n"), F.first("listed").alias("listed")).where("id IS NOT NULL")
+    shared = stored(_leading(classes, percent), "leads")
 
     # groups of candidate classes
-    member = shared.groupBy("id").agg(F.min("g").alias("key"), F.max("n").alias("n"))
+    member = shared.groupBy("id").agg(F.min(F.struct("classes", "g"))["g"].alias("key"), F.max("n").alias("n"))
     size = member.groupBy("key").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     member = stored(member.join(size, "key").select("id", "n", "key", F.pmod(F.xxhash64("id"), "parts").alias("part")), "members")
     ids = member.select("id")
@@ -251,7 +246,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
         links = stored(links.unionByName(found), "links")
 
     comp = components(links)
-    classes = classes.join(comp, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
+    classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id")).join(comp, "id", "left").select(
+        "s1", "s2", F.coalesce("component", "id").alias("component_id"))
     return rows.select("id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 

@@ -44,7 +44,7 @@ from .common import SpanHash, byte_values, chunks, mix, runs, stored, text_buffe
 from .components import components
 from .registry import register
 
-GROUP = 64
+GROUP = 512
 ASKING = 1_000
 #: Candidate classes up to which their ids (8 bytes each) are broadcast to the scan of the texts.
 BROADCAST_IDS = 2_000_000
@@ -221,7 +221,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     group = ["key", "part"]
 
     links = stored(member.join(sets, "id").groupBy(*group).applyInPandas(_inside(percent), "a bigint, b bigint"), "links")
-    matrix = stored(shared.select("id", "g").join(member.select("id", *group), "id").select("g", *group).distinct(), "matrix")
+    matrix = shared.select("id", "g").join(member.select("id", *group), "id").select("g", *group).distinct()
+    # an n-gram of one group names no other
+    several = matrix.groupBy("g").agg(F.count("*").alias("groups")).where("groups > 1").select("g")
+    matrix = stored(matrix.join(several, "g"), "matrix")
+    shared = stored(shared.join(several, "g"), "leads")
     for everyone in (False, True):
         comp = components(links)
         now = member.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")

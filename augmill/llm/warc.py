@@ -13,7 +13,8 @@ with the largest id is the response, the others revisit it.
 Edge cases: a null payload is empty; a null URL gives a record without a target; rows
 with a null id are records of their own that nothing refers to (responses); repeated
 rows of one id each give a record, and none of them revisits its own id: all rows that
-hold the largest id of a payload are responses; an empty table gives no bundle. Only
+hold the largest id of a payload are responses, with one record id, which a bundle's map
+resolves to the last of them; an empty table gives no bundle. Only
 the three columns are read.
 """
 

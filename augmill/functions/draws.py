@@ -1,8 +1,8 @@
 """Hash draws: every random choice in the engine is a pure function of its key.
 
 A draw is keyed by ``purpose|seed|part1|part2|...``. The md5 of that key gives
-an unsigned 32-bit integer (first 8 hex digits) and a full-width sort key (the
-32 hex digits). Results therefore do not depend on partitioning, retries or
+an unsigned 60-bit integer (first 15 hex digits), a uniform double (from 8 of them)
+and a full-width sort key (the 32 hex digits). Results therefore do not depend on partitioning, retries or
 executor loss, and the DuckDB twin in :func:`sql_draw` reproduces them exactly.
 """
 
@@ -22,13 +22,13 @@ def _key(purpose: str, seed: int, parts) -> Column:
 
 
 def draw(purpose: str, seed: int, *parts) -> Column:
-    """Unsigned 32-bit integer draw as BIGINT."""
-    return F.conv(F.substring(F.md5(_key(purpose, seed, parts)), 1, 8), 16, 10).cast("bigint")
+    """Unsigned 60-bit integer draw as BIGINT."""
+    return F.conv(F.substring(F.md5(_key(purpose, seed, parts)), 1, 15), 16, 10).cast("bigint")
 
 
 def uniform(purpose: str, seed: int, *parts) -> Column:
     """Uniform double in [0, 1)."""
-    return draw(purpose, seed, *parts) / F.lit(TWO32)
+    return F.conv(F.substring(F.md5(_key(purpose, seed, parts)), 1, 8), 16, 10).cast("bigint") / F.lit(TWO32)
 
 
 def sort_key(purpose: str, seed: int, *parts) -> Column:
@@ -47,16 +47,16 @@ def _sql_key(purpose: str, seed: int, parts) -> str:
     return "concat_ws('|', " + ", ".join([f"'{purpose}'", f"'{seed}'", *parts]) + ")"
 
 
-def sql_draw(purpose: str, seed: int, *parts: str, dialect: str = "duckdb") -> str:
+def sql_draw(purpose: str, seed: int, *parts: str, dialect: str = "duckdb", digits: int = 15) -> str:
     key = _sql_key(purpose, seed, parts)
     if dialect == "duckdb":
-        return f"CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT)"
-    return f"CAST(conv(substr(md5({key}), 1, 8), 16, 10) AS BIGINT)"
+        return f"CAST('0x' || substr(md5({key}), 1, {digits}) AS BIGINT)"
+    return f"CAST(conv(substr(md5({key}), 1, {digits}), 16, 10) AS BIGINT)"
 
 
 def sql_uniform(purpose: str, seed: int, *parts: str, dialect: str = "duckdb") -> str:
-    return f"({sql_draw(purpose, seed, *parts, dialect=dialect)} / 4294967296.0::DOUBLE)" if dialect == "duckdb" \
-        else f"({sql_draw(purpose, seed, *parts, dialect=dialect)} / 4294967296.0D)"
+    return f"({sql_draw(purpose, seed, *parts, dialect=dialect, digits=8)} / 4294967296.0::DOUBLE)" if dialect == "duckdb" \
+        else f"({sql_draw(purpose, seed, *parts, dialect=dialect, digits=8)} / 4294967296.0D)"
 
 
 def sql_sort_key(purpose: str, seed: int, *parts: str) -> str:

@@ -22,6 +22,8 @@ def barrier(df: DataFrame, **exprs: Column) -> DataFrame:
 
 def fan_out(df: DataFrame, naug: int) -> DataFrame:
     """One row per (source row, copy_no) with copy_no in 1..naug."""
+    if naug < 1:  # sequence(1, 0) counts down
+        return df.withColumn("copy_no", F.lit(1).cast("bigint")).where(F.lit(False))
     return df.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(int(naug)).cast("bigint"))))
 
 

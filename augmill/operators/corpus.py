@@ -17,7 +17,6 @@ from augmill.operators.indexing import global_index
 
 UNK, BOS, EOS = 0, 1, 2
 SPECIALS = [("UUUNKKK", UNK), ("<bos>", BOS), ("<eos>", EOS)]
-N_VECTORS = 500
 
 
 def pair_sides(pairs: DataFrame) -> DataFrame:
@@ -145,9 +144,9 @@ def pad_batches(enc: DataFrame, batch_no: DataFrame) -> DataFrame:
 
 
 def word_vectors(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Stand-in vector file: every cleaned corpus word -> embeddings[draw % 500]."""
+    """Stand-in vector file: every cleaned corpus word -> embeddings[draw % rows]; vec_id is 0..rows-1."""
     words = docs.select(F.explode(T.split_nonempty(T.clean_letters(F.col("text")))).alias("word")).distinct()
-    words = words.withColumn("vec_id", F.pmod(D.draw("vec", 0, F.col("word")), F.lit(N_VECTORS)))
+    words = words.withColumn("vec_id", F.pmod(D.draw("vec", 0, F.col("word")), F.lit(max(1, embeddings.count()))))
     return words.join(embeddings.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("word", "vec")
 
 

@@ -139,15 +139,22 @@ def eda(df: DataFrame, syn: DataFrame, naug: int = 8, alpha_sr: float = 0.1, alp
         alpha_rs: float = 0.1, p_rd: float = 0.1, seed: int = 1) -> DataFrame:
     """A5: int(naug/4)+1 candidates per technique, naug of them kept (hash
     order), each re-cleaned; the cleaned original is appended; blank rows dropped."""
-    m = naug // 4 + 1
+    m = int(naug / 4) + 1
     params = {"sr": alpha_sr, "ri": alpha_ri, "rs": alpha_rs, "rd": p_rd}
     enabled = [t for t in TECHS if params[t] > 0]
     n_cand = m * len(enabled)
     base = prepare(df.where(T.not_blank(F.col("text"))), syn)
+    orig = base.select("src_id", F.lit("eda").alias("technique"), F.lit(0).cast("bigint").alias("copy_no"),
+                       F.col("ctext").alias("text"), "label", F.lit(True).alias("is_original"))
+    if not enabled or naug <= 0:  # nothing to draw from: the cleaned originals alone
+        return orig.where(T.not_blank(F.col("text")))
+    n_kept = int(naug) if naug >= 1 else n_cand
     picks = F.slice(F.array_sort(F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.lit(n_cand - 1).cast("bigint")),
-        lambda c: F.struct(D.sort_key("eda_pick", seed, F.col("src_id"), c).alias("h"), c.alias("c")))), 1, naug)
+        lambda c: F.struct(D.sort_key("eda_pick", seed, F.col("src_id"), c).alias("h"), c.alias("c")))), 1, n_kept)
     cands = base.where(F.col("n") > 0).select("*", F.posexplode(picks).alias("pos", "pk"))
+    if naug < 1:  # not a number of copies but the expected one: each candidate is kept with an equal chance
+        cands = cands.where(D.uniform("eda_keep", seed, F.col("src_id"), F.col("pk.c")) < naug / n_cand)
     cands = cands.select("*", F.col("pk.c").alias("cand"), (F.col("pos") + 1).cast("bigint").alias("copy_no"))
     # one pass: every technique's intermediates are gated by CASE WHEN on the
     # candidate's technique, so each row computes only its own technique
@@ -160,8 +167,6 @@ def eda(df: DataFrame, syn: DataFrame, naug: int = 8, alpha_sr: float = 0.1, alp
     aug = aug.select("src_id", F.lit("eda").alias("technique"), "copy_no",
                      T.clean_letters(F.array_join("new_words", " ")).alias("text"), "label",
                      F.lit(False).alias("is_original"))
-    orig = base.select("src_id", F.lit("eda").alias("technique"), F.lit(0).cast("bigint").alias("copy_no"),
-                       F.col("ctext").alias("text"), "label", F.lit(True).alias("is_original"))
     return orig.unionByName(aug).where(T.not_blank(F.col("text")))
 
 

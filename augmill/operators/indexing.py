@@ -58,6 +58,12 @@ def global_index(
     # level 3: rank inside the run
     local = Window.partitionBy(*grp, F.col("_okey"), F.col("_run")).orderBy(F.col(id_col))
     ranked = keyed.withColumn("_local", F.row_number().over(local))
-    res = ranked.join(r_off, [*group_cols, "_bkt", "_okey", "_run"]).join(b_off, [*group_cols, "_bkt"])
+    # null-safe: rows without a label are a group of their own
+    def met(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
+        right = right.select(*[F.col(c).alias(f"_r_{c}") if c in cols else F.col(c) for c in right.columns])
+        on = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in cols]
+        return left.join(right, on).drop(*[f"_r_{c}" for c in cols])
+
+    res = met(met(ranked, r_off, [*group_cols, "_bkt", "_okey", "_run"]), b_off, [*group_cols, "_bkt"])
     res = res.withColumn(out, (F.col("_off_b") + F.col("_off_r") + F.col("_local") - 1).cast("bigint"))
     return res.drop("_okey", "_bkt", "_run", "_local", "_off_b", "_off_r")

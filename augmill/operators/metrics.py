@@ -77,11 +77,11 @@ def weighted_means(metrics: DataFrame) -> DataFrame:
         F.round(F.sum(F.col("value") * F.col("n")) / F.sum("n"), 6).alias("mean"), F.sum("n").cast("bigint").alias("n"))
 
 
-def early_stop(series: DataFrame, patience: int = 20, max_epochs: int = 200) -> DataFrame:
+def early_stop(series: DataFrame, patience: int = 20, max_epochs: int | None = None) -> DataFrame:
     """M8: (series, epoch, score). Best = strictly greater than all earlier
     scores (start 0.0); stop at the first epoch whose no-improvement run
     reaches ``patience``; the last epoch when it never does."""
-    s = series.where(F.col("epoch") < max_epochs)
+    s = series if max_epochs is None else series.where(F.col("epoch") < max_epochs)
     w = Window.partitionBy("series").orderBy("epoch")
     prior = F.coalesce(F.max("score").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     s = s.withColumn("improved", F.col("score") > F.greatest(prior, F.lit(0.0)))

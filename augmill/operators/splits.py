@@ -24,7 +24,8 @@ def undersample(df: DataFrame, reduce_labels=(1, 2, 3, 4, 5), factor: int = 10,
     (uniform, by hash order); other labels are kept whole."""
     idx = global_index(df, ["label"], D.sort_key("undersample", seed, F.col("src_id")), "src_id")
     n_keep = F.bround(F.lit(1.0 / factor) * F.col("group_size"), 0)
-    keep = (~F.col("label").isin(list(reduce_labels))) | (F.col("idx") < n_keep)
+    reduced = F.coalesce(F.col("label").isin(list(reduce_labels)), F.lit(False))  # rows without a label are kept
+    keep = ~reduced | (F.col("idx") < n_keep)
     return idx.where(keep).drop("idx", "group_size")
 
 
@@ -34,7 +35,8 @@ def label_index(df: DataFrame, order_col: str = "src_id") -> DataFrame:
     first = df.groupBy("label").agg(F.min(order_col).alias("_first"))
     # one row per label: the unpartitioned window is bounded by the label count
     first = first.withColumn("label_idx", (F.row_number().over(Window.orderBy("_first", "label")) - 1).cast("bigint"))
-    return df.join(first.select("label", "label_idx"), "label")
+    first = first.select(F.col("label").alias("_label"), "label_idx")
+    return df.join(first, F.col("label").eqNullSafe(F.col("_label"))).drop("_label")
 
 
 def split_two_way(df: DataFrame, id_col: str = "src_id", test_size: float = 0.1, seed: int = 93) -> DataFrame:

@@ -145,7 +145,7 @@ def q_pad_batches(spark, sf_dir):
 _CL = T.duck_clean_letters("text")
 _VECS = f"""wv AS (SELECT w.word, e.embedding AS vec FROM (
     SELECT DISTINCT unnest(list_filter(string_split({_CL}, ' '), lambda x: x <> '')) AS word FROM documents) w
-    JOIN embeddings e ON e.vec_id = {C.D.sql_draw('vec', 0, 'w.word')} % 500)"""
+    JOIN embeddings e ON e.vec_id = {C.D.sql_draw('vec', 0, 'w.word')} % (SELECT count(*) FROM embeddings))"""
 
 
 def _duck_l2(v):

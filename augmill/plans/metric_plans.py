@@ -109,7 +109,7 @@ DUCK_SERIES = """daily AS (SELECT event_type, CAST(ts AS DATE) AS day, round(avg
 
 @register("early_stop", f"""WITH {DUCK_SERIES},
   s AS (SELECT *, score > greatest(coalesce(max(score) OVER (PARTITION BY series ORDER BY epoch
-          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0) AS improved FROM series WHERE epoch < 200),
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0) AS improved FROM series),
   s2 AS (SELECT *, max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY series ORDER BY epoch
           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_imp FROM s),
   s3 AS (SELECT *, CASE WHEN last_imp IS NULL THEN epoch + 1 ELSE epoch - last_imp END AS run FROM s2),

@@ -2,7 +2,7 @@
 
 Hypotheses are random-deletion copies (A4) of the cleaned sentences, the
 references are the cleaned sentences themselves. Trees for the bracket
-metrics are built from sentences of 1-29 tokens: the gold tree groups words
+metrics are built from all sentences: the gold tree groups words
 in threes under suffix-rule tags, the predicted tree groups them in twos
 under a stop-word tagger.
 """
@@ -154,7 +154,7 @@ def q_score_summary(spark, sf_dir):
 # --- trees ----------------------------------------------------------------------
 
 def _trees(spark, sf_dir):
-    r = _refs(spark, sf_dir).withColumn("n", F.size("r")).where("n >= 1 AND n <= 29")
+    r = _refs(spark, sf_dir).withColumn("n", F.size("r")).where("n >= 1")
     gold_tags = F.transform("r", C.suffix_tag)
     pred_tags = F.transform("r", lambda w: F.when(T.is_stop(w), "FUNC").otherwise("X"))
     return r.select("sid", F.col("n").cast("bigint").alias("len_bucket"), "r",
@@ -180,7 +180,7 @@ DUCK_TREES = f"""trees AS (SELECT sid, len(r)::BIGINT AS len_bucket, r,
     {_duck_tree(2, f"CASE WHEN list_contains({_STOP}, x) THEN 'FUNC' ELSE 'X' END")} AS pred,
     list_transform(r, lambda x: {_duck_tag('x')}) AS gold_tags,
     list_transform(r, lambda x: CASE WHEN list_contains({_STOP}, x) THEN 'FUNC' ELSE 'X' END) AS pred_tags
-    FROM refs WHERE len(r) BETWEEN 1 AND 29)"""
+    FROM refs WHERE len(r) >= 1)"""
 
 
 def _duck_spans(col, name):

@@ -20,7 +20,7 @@ def local_session(cpus: int | str = 8, partitions: int = 8, app: str = "augmill"
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("AUGMILL_DRIVER_MEMORY", "10g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -43,6 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local_dir = tempfile.mkdtemp(prefix="augmill-ckpt-", dir=os.environ.get("AUGMILL_SCRATCH", "/tmp"))
     sc.setCheckpointDir(local_dir)
     return sc.getCheckpointDir() or local_dir

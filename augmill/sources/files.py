@@ -16,6 +16,7 @@ def read_labelled_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -
     """Header CSV with ``text`` and ``label`` columns (quotes, embedded
     newlines, BOM handled); fails fast when a column is missing."""
     df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
           .option("encoding", encoding).csv(path))
     missing = {"text", "label"} - set(df.columns)
     if missing:
@@ -42,7 +43,7 @@ def read_positional_csv(spark: SparkSession, path: str, encoding: str = "UTF-8",
 def read_tsv_fields(spark: SparkSession, path: str, n_fields: int, lower: bool = False):
     """Strip, split on TAB; rows with the wrong field count go to the
     reject frame. Returns (good with f1..fn, rejects)."""
-    lines = spark.read.text(path).withColumn("_line", F.trim(F.col("value")))
+    lines = spark.read.text(path).withColumn("_line", F.regexp_replace(F.col("value"), r"^\s+|\s+$", ""))
     if lower:
         lines = lines.withColumn("_line", F.lower("_line"))
     lines = lines.where(F.col("_line") != "").withColumn("_f", F.split("_line", "\t"))
@@ -89,14 +90,16 @@ def write_augmented(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Originals and augmented rows, partitioned by technique."""
     w = df.write.mode("overwrite").partitionBy("technique")
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+            "ignoreTrailingWhiteSpace", False).csv(path)
     else:
         w.parquet(path)
 
 
 def write_generated_tsv(df: DataFrame, path: str) -> None:
     """``text<TAB>label`` lines, no header."""
-    df.select("text", F.col("label").cast("string")).write.mode("overwrite").option("sep", "\t") \
+    one_line = F.regexp_replace("text", r"[\t\r\n]+", " ")  # a separator inside a text would break its row
+    df.select(one_line.alias("text"), F.col("label").cast("string")).write.mode("overwrite").option("sep", "\t") \
         .option("quote", "\u0000").csv(path)
 
 

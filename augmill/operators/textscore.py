@@ -146,14 +146,14 @@ def meteor_exact(pairs: DataFrame) -> DataFrame:
                     F.when(F.col("matches") > 0, fmean * (1 - pen)).otherwise(F.lit(0.0)).alias("meteor"))
 
 
-def chunk_tree(w: Column, size: int, top: str = "S", mid: str = "P", tags: Column | None = None) -> Column:
-    """Bracketed string (S (P (W a) (W b)) ...) grouping words in chunks."""
-    tags = tags if tags is not None else F.transform(w, lambda x: F.lit("W"))
-    leaves = F.transform(F.arrays_zip(w.alias("w"), tags.alias("t")), lambda z: F.concat(F.lit("("), z["t"], F.lit(" "),
-                                                                                       z["w"], F.lit(")")))
+def chunk_tree(w: Column, size: int, top: str = "S", mid: str = "P", tag=None) -> Column:
+    """Bracketed string (S (P (W a) (W b)) ...) grouping words in chunks; ``tag`` maps a word to its
+    tag. Each chunk makes its own leaves, so the work is linear in the sentence."""
+    tag = tag or (lambda x: F.lit("W"))
     n_chunks = F.ceil(F.size(w) / F.lit(size)).cast("int")
     chunks = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda c: F.concat(
-        F.lit(f"({mid} "), F.array_join(F.slice(leaves, c * size + 1, size), " "), F.lit(")")))
+        F.lit(f"({mid} "), F.array_join(F.transform(F.slice(w, c * size + 1, size), lambda x: F.concat(
+            F.lit("("), tag(x), F.lit(" "), x, F.lit(")"))), " "), F.lit(")")))
     return F.concat(F.lit(f"({top} "), F.array_join(chunks, " "), F.lit(")"))
 
 

@@ -155,11 +155,11 @@ def q_score_summary(spark, sf_dir):
 
 def _trees(spark, sf_dir):
     r = _refs(spark, sf_dir).withColumn("n", F.size("r")).where("n >= 1")
-    gold_tags = F.transform("r", C.suffix_tag)
-    pred_tags = F.transform("r", lambda w: F.when(T.is_stop(w), "FUNC").otherwise("X"))
+    plain_tag = lambda w: F.when(T.is_stop(w), "FUNC").otherwise("X")
+    gold_tags, pred_tags = F.transform("r", C.suffix_tag), F.transform("r", plain_tag)
     return r.select("sid", F.col("n").cast("bigint").alias("len_bucket"), "r",
-                    G.chunk_tree(F.col("r"), 3, tags=gold_tags).alias("gold"),
-                    G.chunk_tree(F.col("r"), 2, tags=pred_tags).alias("pred"),
+                    G.chunk_tree(F.col("r"), 3, tag=C.suffix_tag).alias("gold"),
+                    G.chunk_tree(F.col("r"), 2, tag=plain_tag).alias("pred"),
                     gold_tags.alias("gold_tags"), pred_tags.alias("pred_tags"))
 
 

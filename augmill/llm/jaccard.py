@@ -14,11 +14,13 @@
    n-grams.
 4. Members of a group are compared with each other. Then classes are queries to the other
    groups that the matrix names: the overlap with the group's union bounds the overlap with
-   any member, and only a group whose bound reaches the threshold is opened. First one
-   member of each component so far asks, which joins the pieces of a family of copies; then
-   all members whose component differs from some member's ask. A pair that is connected
-   already isn't compared, so that a family of m copies costs about m comparisons; no
-   pair between different components that can link is left out.
+   any member, and only a group whose bound reaches the threshold is opened. For each n-gram
+   the matrix also holds the largest component among the group's members that lead with it.
+   First one class of each component asks the groups of the largest components, which joins
+   the pieces of a family of copies; then one class of each component asks all groups with
+   a larger component; then every class does. A pair that is connected already isn't
+   compared and the smaller component asks, so that a family of m copies costs about m
+   comparisons; no pair between different components that can link is left out.
 5. Links make components (``components.py``).
 
 Groups that many classes ask are split by hash of the asking class.
@@ -221,24 +223,32 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     group = ["key", "part"]
 
     links = stored(member.join(sets, "id").groupBy(*group).applyInPandas(_inside(percent), "a bigint, b bigint"), "links")
-    matrix = shared.select("id", "g").join(member.select("id", *group), "id").select("g", *group).distinct()
     # an n-gram of one group names no other
-    several = matrix.groupBy("g").agg(F.count("*").alias("groups")).where("groups > 1").select("g")
-    matrix = stored(matrix.join(several, "g"), "matrix")
+    named = shared.select("id", "g").join(member.select("id", *group), "id").select("g", *group).distinct()
+    several = named.groupBy("g").agg(F.count("*").alias("groups")).where("groups > 1").select("g")
     shared = stored(shared.join(several, "g"), "leads")
-    for everyone in (False, True):
-        comp = components(links)
-        now = member.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        span = now.groupBy(*group).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
-        asks = shared.join(now.select("id", "comp", F.col("key").alias("own_key"), F.col("part").alias("own_part")), "id")
-        if not everyone:
-            asks = asks.groupBy("g", "comp").agg(F.min(F.struct("id", "own_key", "own_part", "n")).alias("x")).select("g", "comp", "x.*")
-        pairs = asks.join(matrix, "g").join(span, group).where(
-            "(lo <> comp OR hi <> comp) AND (key <> own_key OR part <> own_part)"
+    asked = None
+    for step in ("largest", "pieces", "all"):
+        now = member.join(components(links), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        weight = now.groupBy("comp").agg(F.count("*").alias("weight"))
+        now = stored(now.join(weight, "comp").withColumn("rank", F.struct("weight", "comp")).drop("weight"), "components")
+        held = shared.select("id", "g").join(now, "id")
+        matrix = held.groupBy("g", *group).agg(F.max("rank").alias("top"), F.min("n").alias("least"), F.max("n").alias("most"))
+        largest = matrix.groupBy("g").agg(F.max(F.struct("top", *group, "least", "most")).alias("x")).select("g", "x.*")
+        asks = held.withColumnsRenamed({"key": "own_key", "part": "own_part"})
+        if step != "all":
+            asks = asks.groupBy("g", "comp").agg(F.min(F.struct("id", "own_key", "own_part", "n", "rank")).alias("x")).select("g", "comp", "x.*")
+        # of two components the smaller asks, so a family of copies asks nobody but larger ones
+        asks = asks.join(largest.select("g", F.col("top").alias("limit")), "g").where("rank < limit").drop("limit")
+        pairs = asks.join(largest if step == "largest" else matrix, "g").where(
+            "rank < top AND (key <> own_key OR part <> own_part)"
             f" AND 100 * most >= {percent} * n AND 100 * n >= {percent} * least")
-        if everyone:  # of two groups that name each other, one asks
-            pairs = pairs.where("struct(key, part) > struct(own_key, own_part)")
-        pairs = stored(pairs.select("id", "comp", *group).distinct(), "asks")
+        pairs = pairs.select("id", "comp", *group).distinct() if step == "all" else (
+            pairs.groupBy("comp", *group).agg(F.min("id").alias("id")).select("id", "comp", *group))
+        if asked is not None:  # what a class has asked a group is settled for good
+            pairs = pairs.join(asked, ["id", *group], "left_anti").select("id", "comp", *group)
+        pairs = stored(pairs, "asks")
+        asked = pairs.select("id", *group) if asked is None else asked.unionByName(pairs.select("id", *group))
         load_ = pairs.groupBy(*group).agg(F.ceil(F.count("*") / ASKING).alias("shares"))
         asking = pairs.join(load_, group).withColumn("share", F.pmod(F.xxhash64("id"), "shares")).drop("shares").join(sets, "id")
         members = now.join(load_, group).select(

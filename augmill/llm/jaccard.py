@@ -8,8 +8,8 @@
    other class, so a class with more than d such n-grams links with nothing and is done.
    The others have *leading* n-grams: their first d + 1 in the order of the sample, rarest
    first, then the rest by hash. Linked classes share a leading n-gram.
-3. Such classes are partitioned into groups of about ``GROUP`` members by their smallest
-   shared leading n-gram; a larger group is dealt out by hash. The token-group matrix says
+3. Such classes are partitioned into groups of about ``GROUP`` members by their most
+   common leading n-gram; a larger group is dealt out by hash. The token-group matrix says
    which leading n-grams occur in which group; each group also has the union of its members'
    n-grams.
 4. Members of a group are compared with each other. Then classes are queries to the other
@@ -214,7 +214,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     shared = stored(_leading(classes, percent), "leads")
 
     # groups of candidate classes
-    member = shared.groupBy("id").agg(F.min(F.struct("classes", "g"))["g"].alias("key"), F.max("n").alias("n"))
+    member = shared.groupBy("id").agg(F.max(F.struct("classes", "g"))["g"].alias("key"), F.max("n").alias("n"))
     size = member.groupBy("key").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     member = stored(member.join(size, "key").select("id", "n", "key", F.pmod(F.xxhash64("id"), "parts").alias("part")), "members")
     ids = member.select("id")

@@ -48,6 +48,10 @@ from .registry import register
 
 GROUP = 512
 ASKING = 1_000
+#: Listed n-grams that a task gets, about.
+TASK_NGRAMS = 250_000
+#: An n-gram that more than so many of a sample of so many classes list is common, and the number of classes it counts as.
+COMMON, SAMPLE, MOST_CLASSES = 200, 20_000, 1 << 60
 #: Candidate classes up to which their ids (8 bytes each) are broadcast to the scan of the texts.
 BROADCAST_IDS = 2_000_000
 
@@ -114,21 +118,107 @@ def _describe(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return texts.mapInArrow(work, "id bigint, n bigint, s1 bigint, s2 bigint, listed array<bigint>")
 
 
+def _representatives(rows: DataFrame) -> DataFrame:
+    """(id, n, listed): one row of every class, that with the smallest id."""
+    least = rows.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2").agg(F.min("id").alias("id"))
+    one = rows.join(least, ["s1", "s2", "id"], "left_semi")
+    twice = rows.where("n > 0 AND id IS NOT NULL").groupBy("id").count().where("count > 1")
+    return (one.dropDuplicates(["id"]) if twice.head(1) else one).select("id", "n", "listed")
+
+
+def _common(classes: DataFrame) -> np.ndarray:
+    """N-grams that more than ``COMMON`` of a hashed sample of about ``SAMPLE`` classes list, ascending."""
+    every = max(1, classes.count() // SAMPLE)
+    lists = classes.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select(F.explode("listed").alias("g"))
+    many = lists.groupBy("g").count().where(F.col("count") > COMMON)
+    return np.sort(many.select("g").toPandas()["g"].to_numpy(np.int64))
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Ids and sizes of the rows, and (row, n-gram) of what they list."""
+    col = batch.column(2)
+    size = col.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ids, n = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+    return ids, n, np.repeat(np.arange(len(ids)), size), col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _packed(task: np.ndarray, *values: np.ndarray) -> pa.RecordBatch | None:
+    """One row per task with the values that go to it, as bytes."""
+    if not len(task):
+        return None
+    order = np.argsort(task, kind="stable")
+    first = np.flatnonzero(np.diff(task[order], prepend=-1))
+    cols = [pa.array([x.tobytes() for x in np.split(v[order], first[1:])], pa.binary()) for v in values]
+    return pa.RecordBatch.from_arrays([pa.array(task[order][first]), *cols], names=["task", *"abc"[: len(values)]])
+
+
+def _bucket(x: np.ndarray, tasks: int) -> np.ndarray:
+    return (mix(x.view(np.uint64)) % np.uint64(tasks)).astype(np.int64)
+
+
 def _leading(classes: DataFrame, percent: int) -> DataFrame:
-    """(id, n, g, classes): the leading n-grams of candidate classes that other classes list too."""
-    # unsigned remainder of the hash, as in _describe: 2^64 is 16 modulo 100
-    remainder = F.pmod(F.pmod("g", F.lit(100)) + F.when(F.col("g") < 0, 16).otherwise(0), F.lit(100))
-    spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    lists = classes.select("id", "n", F.explode("listed").alias("g"))
-    count = lists.groupBy("g").agg(F.count("*").alias("classes")).where("classes > 1")
-    shared = lists.join(count, "g").withColumn("sampled", remainder < _sampled(percent))
-    w = Window.partitionBy("id")  # a window is one class, its rows a part of its own set
-    shared = shared.withColumn("k", F.sum(F.col("sampled").cast("int")).over(w)).withColumn(
-        "place", F.row_number().over(w.orderBy(F.desc("sampled"), "classes", "g")))
-    size = classes.select("id", F.size(F.filter("listed", lambda x: F.pmod(F.pmod(x, F.lit(100)) + F.when(x < 0, 16).otherwise(0), F.lit(100))
-                                                < _sampled(percent))).alias("all"))
-    alone = shared.join(size, "id").withColumn("alone", F.col("all") - F.col("k")).where(F.col("alone") <= spare)
-    return alone.where(~F.col("sampled") | (F.col("place") <= spare + 1 - F.col("alone"))).select("id", "n", "g", "classes")
+    """(id, n, g, classes): the leading n-grams of candidate classes that other classes list too.
+
+    Lists are dealt out by n-gram, which finds those of several classes, and what is shared by
+    class. Common n-grams are shared for certain; they count as the most frequent ones and go
+    to their classes at once, so that none of them gathers in a task.
+    """
+    limit = np.uint64(_sampled(percent))
+    sent = classes.sparkSession.sparkContext.broadcast(_common(classes))
+    listed = classes.agg(F.sum(F.size("listed").cast("bigint"))).first()[0] or 0
+    tasks = max(1, -(-listed // TASK_NGRAMS))
+
+    def is_common(g):
+        common = sent.value
+        return common[np.minimum(np.searchsorted(common, g), len(common) - 1)] == g if len(common) else np.zeros(len(g), bool)
+
+    def by_ngram(batches):
+        for batch in batches:
+            ids, _, row, g = _flat(batch)
+            rare = ~is_common(g)
+            if out := _packed(_bucket(g[rare], tasks), ids[row[rare]], g[rare]):
+                yield out
+
+    def shared(part: pd.DataFrame) -> pd.DataFrame:
+        ids, g = (np.frombuffer(b"".join(part[c]), np.int64) for c in "ab")
+        order = np.argsort(g, kind="stable")
+        ids, g = ids[order], g[order]
+        begin = np.flatnonzero(np.diff(g, prepend=~g[:1]))
+        size = np.diff(np.append(begin, len(g)))
+        many = np.repeat(size, size)
+        out = _packed(_bucket(ids[many > 1], tasks), ids[many > 1], g[many > 1], many[many > 1])
+        return out.to_pandas() if out else pd.DataFrame({"task": pd.Series(dtype="int64"), "a": [], "b": [], "c": []})
+
+    def by_class(batches):
+        """Sizes, as (id, n, -1 - listed n-grams of the sample), and common n-grams."""
+        for batch in batches:
+            ids, n, row, g = _flat(batch)
+            inside = np.bincount(row[g.view(np.uint64) % np.uint64(100) < limit], minlength=len(ids))
+            hot = is_common(g)
+            a = np.concatenate([ids, ids[row[hot]]])
+            if out := _packed(_bucket(a, tasks), a, np.concatenate([n, g[hot]]),
+                              np.concatenate([-1 - inside, np.full(hot.sum(), MOST_CLASSES)]).astype(np.int64)):
+                yield out
+
+    def chosen(part: pd.DataFrame) -> pd.DataFrame:
+        ids, g, classes = (np.frombuffer(b"".join(part[c]), np.int64) for c in "abc")
+        sizes = classes < 0
+        own = np.argsort(ids[sizes])
+        own_id, n, every = ids[sizes][own], g[sizes][own], (-1 - classes[sizes])[own]
+        at, g, classes = np.searchsorted(own_id, ids[~sizes]), g[~sizes], classes[~sizes]
+        sampled = g.view(np.uint64) % np.uint64(100) < limit
+        alone = every - np.bincount(at[sampled], minlength=len(own_id))
+        spare = n - -(-percent * n // 100)
+        order = np.lexsort((g, classes, ~sampled, at))
+        at, g, classes, sampled = at[order], g[order], classes[order], sampled[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        keep = (alone <= spare)[at] & (~sampled | (place < (spare + 1 - alone)[at]))
+        return pd.DataFrame({"id": own_id[at[keep]], "n": n[at[keep]], "g": g[keep], "classes": classes[keep]})
+
+    packed = "task bigint, a binary, b binary, c binary"
+    found = classes.mapInArrow(by_ngram, "task bigint, a binary, b binary").groupBy("task").applyInPandas(shared, packed)
+    return classes.mapInArrow(by_class, packed).unionByName(found).groupBy("task").applyInPandas(
+        chosen, "id bigint, n bigint, g bigint, classes bigint")
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
@@ -209,9 +299,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     ``percent`` per cent reach."""
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = stored(_describe(texts, n, percent), "ngram-rows")
-    classes = rows.where("n > 0").groupBy("s1", "s2").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), F.first("listed").alias("listed")).where("id IS NOT NULL")
-    shared = stored(_leading(classes, percent), "leads")
+    shared = stored(_leading(_representatives(rows), percent), "leads")
 
     # groups of candidate classes
     member = shared.groupBy("id").agg(F.max(F.struct("classes", "g"))["g"].alias("key"), F.max("n").alias("n"))

@@ -3,17 +3,16 @@
 Inputs are token arrays per pair id: ``hyp`` (sid, h) and ``ref`` (sid, r).
 BLEU is corpus level (clipped n-gram counts summed over all pairs); ROUGE and
 METEOR are per pair, then averaged. ROUGE-L uses the bit-parallel LCS
-recurrence over a BIGINT (``V' = (V + (V & M)) | (V & ~M)``), which is why
-its word limit is 40 (kept below 63 bits). Bracket F1 and tree distance work
+recurrence (``V' = (V + (V & M)) | (V & ~M)``) over whole texts. Bracket F1 and tree distance work
 on span multisets parsed from bracketed strings.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from augmill.operators.common import barrier
+from pyspark.sql.types import LongType
 
 
 def ngrams(w: Column, n: int) -> Column:
@@ -75,8 +74,8 @@ def corpus_bleu(pairs: DataFrame) -> DataFrame:
                     *[F.round(F.col(f"p{k}"), 6).alias(f"p{k}") for k in range(1, 5)])
 
 
-def rouge_n(pairs: DataFrame, limit: int = 100) -> DataFrame:
-    """Per pair ROUGE-1/2 F (alpha .5) over the first ``limit`` words."""
+def rouge_n(pairs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per pair ROUGE-1/2 F (alpha .5) over whole texts, or the first ``limit`` words."""
     o = overlap_by_n(pairs, 2, limit)
     p = F.when(F.col("h_total") > 0, F.col("match") / F.col("h_total"))
     r = F.when(F.col("r_total") > 0, F.col("match") / F.col("r_total"))
@@ -86,32 +85,30 @@ def rouge_n(pairs: DataFrame, limit: int = 100) -> DataFrame:
                                 F.max(F.when(F.col("n") == 2, F.col("f"))).alias("rouge2"))
 
 
-def _word_masks(r: Column) -> Column:
-    """map word -> bitmask of its positions in ``r`` (at most 62 elements)."""
-    return F.map_from_entries(F.transform(F.array_distinct(r), lambda w: F.struct(
-        w.alias("k"),
-        F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(r) - 1, F.lit(0))), F.lit(0).cast("bigint"),
-                    lambda acc, k: acc.bitwiseOR(F.when(F.try_element_at(r, k + 1) == w,
-                                                        F.pow(F.lit(2.0), k).cast("bigint"))
-                                                 .otherwise(F.lit(0).cast("bigint")))).alias("v"))))
+@F.pandas_udf(LongType())
+def _lcs(h: pd.Series, r: pd.Series) -> pd.Series:
+    """Bit-parallel LCS length: one integer with a bit per word of ``r``, one add/and/or per word of ``h``."""
+    out = []
+    for left, right in zip(h, r, strict=True):
+        masks: dict = {}
+        for k, w in enumerate(right):
+            masks[w] = masks.get(w, 0) | 1 << k
+        full = v = (1 << len(right)) - 1
+        for w in left:
+            both = v & masks.get(w, 0)
+            v = (v + both | v - both) & full
+        out.append(len(right) - v.bit_count())
+    return pd.Series(out, dtype="int64")
 
 
 def lcs_length(df: DataFrame, h: str, r: str, out: str = "lcs") -> DataFrame:
-    """Bit-parallel LCS of two array columns of at most 62 elements: one
-    BIGINT state, one add/and/or step per hypothesis word."""
-    df = barrier(df, _masks=_word_masks(F.col(r)), _full=F.pow(F.lit(2.0), F.size(r)).cast("bigint") - 1)
-
-    def mask(x):
-        return F.coalesce(F.try_element_at("_masks", x), F.lit(0).cast("bigint"))
-
-    v = F.aggregate(h, F.col("_full"), lambda v, x: ((v + v.bitwiseAND(mask(x))).bitwiseOR(
-        v.bitwiseAND(F.bitwise_not(mask(x))))).bitwiseAND(F.col("_full")))
-    return df.withColumn(out, (F.size(r) - F.bit_count(v)).cast("bigint")).drop("_masks", "_full")
+    """LCS length of two array columns of any length (Arrow batches; a 64-bit column holds no longer state)."""
+    return df.withColumn(out, _lcs(h, r))
 
 
-def rouge_l(pairs: DataFrame, limit: int = 40) -> DataFrame:
-    """Per pair LCS F1 over the first ``limit`` words."""
-    d = pairs.select("sid", F.slice("h", 1, limit).alias("h4"), F.slice("r", 1, limit).alias("r4"))
+def rouge_l(pairs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per pair LCS F1 over whole texts, or the first ``limit`` words."""
+    d = pairs.select("sid", *[(F.slice(c, 1, limit) if limit else F.col(c)).alias(f"{c}4") for c in ("h", "r")])
     d = lcs_length(d, "h4", "r4").select("sid", "lcs", F.size("h4").alias("nh"), F.size("r4").alias("nr"))
     p = F.col("lcs") / F.col("nh")
     rc = F.col("lcs") / F.col("nr")

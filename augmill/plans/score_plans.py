@@ -91,7 +91,7 @@ def q_corpus_bleu(spark, sf_dir):
     return G.corpus_bleu(_pairs(spark, sf_dir))
 
 
-_ROUGE_N = f"""{_duck_overlap(2, 100)},
+_ROUGE_N = f"""{_duck_overlap(2)},
   rf AS (SELECT sid, n, CASE WHEN match > 0 THEN 2 * (match / h_total) * (match / r_total) /
          ((match / h_total) + (match / r_total)) ELSE 0.0 END AS f FROM ov),
   rn AS (SELECT sid, max(CASE WHEN n = 1 THEN f END) AS rouge1, max(CASE WHEN n = 2 THEN f END) AS rouge2
@@ -104,15 +104,18 @@ def q_rouge_n(spark, sf_dir):
     return r.select("sid", F.round("rouge1", 6).alias("rouge1"), F.round("rouge2", 6).alias("rouge2"))
 
 
-_LCS = """rl0 AS (SELECT sid, h[1:40] AS h4, r[1:40] AS r4 FROM pairs),
-  rl1 AS (SELECT sid, len(h4) AS nh, len(r4) AS nr, len(r4) - bit_count(list_reduce(h4, lambda v, x:
-      ((v + (v & list_reduce(range(0, greatest(len(r4), 1)), lambda acc, k: acc | CASE WHEN r4[k + 1] = x
-        THEN (1::BIGINT << k) ELSE 0::BIGINT END, 0::BIGINT))) |
-       (v & ~list_reduce(range(0, greatest(len(r4), 1)), lambda acc, k: acc | CASE WHEN r4[k + 1] = x
-        THEN (1::BIGINT << k) ELSE 0::BIGINT END, 0::BIGINT))) & ((1::BIGINT << len(r4)) - 1),
-      (1::BIGINT << len(r4)) - 1)) AS lcs FROM rl0),
+# bit-parallel LCS with the state in limbs of 60 bits: [carry, limbs so far] runs over (state, mask, full) of each limb
+_LCS = """rl0 AS (SELECT sid, h, r, list_transform(range(0, (len(r) + 59) // 60),
+      lambda i: (1::BIGINT << least(60, len(r) - 60 * i)) - 1) AS full_ FROM pairs),
+  rl1 AS (SELECT sid, h, r, full_, list_distinct(h) AS words, list_transform(list_distinct(h), lambda x: list_transform(range(1, len(full_) + 1),
+      lambda i: list_reduce(list_transform(r[60 * i - 59:60 * i], lambda w, j: CASE WHEN w = x THEN 1::BIGINT << (j - 1) ELSE 0::BIGINT END),
+                            lambda a, b: a | b, 0::BIGINT))) AS masks FROM rl0),
+  rl2 AS (SELECT sid, len(h) AS nh, len(r) AS nr, list_reduce(list_transform(h, lambda x: masks[list_position(words, x)]), lambda v, m: list_reduce(list_transform(v, lambda x, i: [x, m[i], full_[i]]),
+      lambda a, q: list_concat([(q[1] + (q[1] & q[2]) + a[1]) >> 60], list_append(a[2:],
+          ((q[1] + (q[1] & q[2]) + a[1]) | (q[1] & ~q[2])) & q[3])), [0::BIGINT])[2:], full_) AS v FROM rl1),
+  rl3 AS (SELECT sid, nh, nr, nr - coalesce(list_sum(list_transform(v, lambda x: bit_count(x))), 0) AS lcs FROM rl2),
   rl AS (SELECT sid, lcs, CASE WHEN lcs > 0 THEN 2 * (lcs / nh) * (lcs / nr) / ((lcs / nh) + (lcs / nr))
-         ELSE 0.0 END AS rougel FROM rl1)"""
+         ELSE 0.0 END AS rougel FROM rl3)"""
 
 
 @register("rouge_l", f"WITH {DUCK_BASE}, {_LCS} SELECT sid, lcs::BIGINT AS lcs, round(rougel, 6) AS rougel FROM rl")

@@ -2,7 +2,6 @@
 
 import random
 
-
 from augmill.operators import textscore as G
 
 
@@ -41,3 +40,12 @@ def test_bleu_identity_is_100(spark):
     assert G.rouge_n(df).first().rouge1 == 1.0
     m = G.meteor_exact(df).first()
     assert m.matches == 6 and m.chunks == 1
+
+
+def test_rouge_l_reads_whole_texts(spark):
+    rng = random.Random(5)
+    rows = [(k, [rng.choice("abcdefgh") for _ in range(a)], [rng.choice("abcdefgh") for _ in range(b)])
+            for k, (a, b) in enumerate([(0, 0), (0, 5), (62, 63), (64, 64), (900, 700)])]
+    df = spark.createDataFrame(rows, "sid long, h array<string>, r array<string>")
+    got = {r.sid: r.lcs for r in G.rouge_l(df).collect()}
+    assert got == {sid: dp_lcs(h, r) for sid, h, r in rows}

@@ -53,6 +53,13 @@ def test_jaccard_components(spark, docs, odd_rows):
     assert jaccard.jaccard_components(docs([])).count() == 0
 
 
+def test_common_ngrams_go_to_their_classes(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "COMMON", 1)
+    rows = families(4)
+    got = jaccard.jaccard_components(docs(rows), 3, 90).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 3, 90)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 99), (7, 7)], "a bigint, b bigint")
     got = {r.id: r.component for r in components(links).collect()}

@@ -4,16 +4,17 @@ A text is its white-space-separated words, hashed. Of its runs of ``K`` words th
 anchors whose smallest run of ``S`` words stands first or last in them. Whether a run is
 an anchor depends on its own words only, so equal passages give equal anchors wherever
 they stand and whatever surrounds them. An anchor is a 64-bit number: 44 bits of the
-run's hash, then 20 bits of its word position. The fingerprint is the ``SKETCH`` smallest
-of a text's anchors in hexadecimal, 16 digits each. Two fingerprints are alike by the
-share of matched hashes among the smallest hashes of both, an estimate of the Jaccard
-likeness of the anchor sets; the positions of matched anchors tell where the shared part
-ends. A text of fewer than ``K`` words is one anchor; a text without words has none, and
-two such texts are alike (1.0) only with each other.
+run's hash, then 20 bits of its word position. The fingerprint is all of a text's distinct
+anchor hashes, each at its first position, ascending, in hexadecimal, 16 digits each: about
+one for two words. Two texts are alike by the Jaccard likeness of their whole hash sets; the
+positions of matched anchors tell where the shared part ends. A text of fewer than ``K``
+words is one anchor; a text without words has none, and two such texts are alike (1.0) only
+with each other.
 
 The next document by ascending id comes from windows over narrow id ranges: quantiles of
 the ids, each divided evenly, so that a range holds about ``RANGE_ROWS`` rows; the first
-row of the next range is added to each as a guest.
+row of the next range is added to each as a guest. Only texts are shuffled; anchors, larger
+than their text, are made where the windows are.
 
 Edge cases: a null text is empty; null ids come first; rows of one id are ordered by their
 text, repeated rows follow one another, each with its row; a single document is followed
@@ -31,7 +32,6 @@ from augmill.sources.tables import load, spread
 from .registry import register
 
 K, S = 5, 2
-SKETCH = 64
 RANGE_ROWS = 2_000
 _QUANTILES = 64
 _POSITION = (1 << 20) - 1
@@ -44,7 +44,7 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``: the sketch of the text, its ``SKETCH`` smallest anchors in ascending order."""
+    """Add ``out``: the text's anchors in ascending order, of equal hashes the first in the text."""
     h, mers, low, pick = f"{out}_h", f"{out}_m", f"{out}_l", f"{out}_p"
     inner = K - S + 1
     words = F.filter(F.split(F.col(text), r"[\s]+"), lambda w: w != "")
@@ -70,25 +70,26 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     anchors = F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(
         F.size(h) < K, F.array(pack(F.xxhash64(h), F.lit(0)))).otherwise(
         F.transform(pick, lambda i: pack(F.xxhash64(F.slice(F.col(h), i, F.lit(K))), i - 1)))
-    df = _once(df, out, F.slice(F.array_sort(anchors), 1, SKETCH))
-    return df.drop(h, mers, f"{low}2", low, pick)
+    every = f"{out}_e"
+    df = _once(df, every, F.sort_array(anchors))
+    df = _once(df, out, F.filter(every, lambda x, i: (i == 0) | (_hash(x) != _hash(F.get(F.col(every), i - 1)))))
+    return df.drop(h, mers, f"{low}2", low, pick, every)
 
 
 def fingerprint(anchors: str) -> Column:
     return F.array_join(F.transform(anchors, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
-def _hashes(anchors: str) -> Column:
-    return F.array_distinct(F.transform(anchors, lambda x: F.shiftright(x, 20)))
+def _hash(anchor: Column) -> Column:
+    return F.shiftright(anchor, 20)
 
 
 def likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Add ``out``: the likeness of two sketches, 0 to 1."""
-    df = _once(_once(df, f"{out}_a", _hashes(a)), f"{out}_b", _hashes(b))
-    df = _once(df, f"{out}_u", F.slice(F.array_sort(F.array_union(f"{out}_a", f"{out}_b")), 1, SKETCH))
-    both = F.array_intersect(F.array_intersect(f"{out}_a", f"{out}_b"), F.col(f"{out}_u"))
-    alike = F.when(F.size(f"{out}_u") == 0, F.lit(1.0)).otherwise(F.size(both) / F.size(f"{out}_u"))
-    return df.withColumn(out, alike).drop(f"{out}_a", f"{out}_b", f"{out}_u")
+    """Add ``out``: the Jaccard likeness of two texts' anchor hashes, 0 to 1."""
+    both = F.size(F.array_intersect(F.transform(a, _hash), F.transform(b, _hash)))
+    df = _once(df, f"{out}_b", both)
+    union = F.size(a) + F.size(b) - F.col(f"{out}_b")
+    return df.withColumn(out, F.when(union == 0, F.lit(1.0)).otherwise(F.col(f"{out}_b") / union)).drop(f"{out}_b")
 
 
 def id_range(docs: DataFrame) -> Column:
@@ -138,7 +139,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Per document: its fingerprint, that of the text whose second half is replaced by the next
     document's beginning, and how alike they are."""
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_anchors(with_guests(rows), "text", "own"), ["text", "own"])
+    rows = with_next(with_anchors(with_guests(rows).repartition("range"), "text", "own"), ["text", "own"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = _once(rows.withColumn("n_chars", n.cast("long")), "edited",

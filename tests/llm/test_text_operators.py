@@ -69,6 +69,21 @@ def test_anchors_are_closed_syncmers_wherever_they_stand(spark, docs):
     assert a and a <= b
 
 
+def test_fingerprints_hold_every_distinct_anchor(spark, docs):
+    line = " ".join(f"r{k}" for k in range(12))
+    body = lambda x: " ".join(f"{x}{k}" for k in range(400))
+    first, after = f"{body('w')} " + f"{line} " * 200, body("v")
+    rows = syncmers.edited_fingerprints(docs([(1, first), (2, first + body("u")), (3, after)])).collect()
+    by = {r.doc_id: r for r in rows}
+    for r in rows:
+        anchors = [int(r.fingerprint[k : k + 16], 16) for k in range(0, len(r.fingerprint), 16)]
+        assert len({x >> 20 for x in anchors}) == len(anchors)
+    # 400 words and a line of 12, repeated: about half of the 412 or so distinct runs are anchors
+    n, m = (len(by[k].fingerprint) // 16 for k in (1, 2))
+    assert 150 < n < 270 and m > 1.7 * n
+    assert abs(by[1].near_next - n / m) < 0.02
+
+
 def labelled(spark):
     good = [(k, f"This is a calm sentence, number {k}, about gardens.") for k in range(120)]
     bad = [(k, f"BUY!! NOW!! {k}!! CHEAP!! CHEAP!!") for k in range(120, 240)]

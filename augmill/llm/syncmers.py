@@ -7,9 +7,15 @@ they stand and whatever surrounds them. An anchor is a 64-bit number: 44 bits of
 run's hash, then 20 bits of its word position. The fingerprint is all of a text's distinct
 anchor hashes, each at its first position, ascending, in hexadecimal, 16 digits each: about
 one for two words. Two texts are alike by the Jaccard likeness of their whole hash sets; the
-positions of matched anchors tell where the shared part ends. A text of fewer than ``K``
-words is one anchor; a text without words has none, and two such texts are alike (1.0) only
-with each other.
+positions of matched anchors tell where the shared part ends. A text without words has no
+anchors, and two such texts are alike (1.0) only with each other.
+
+A text with few words, or one whose longest word takes more than 1 / ``FEW`` of it, is the
+characters of its words, joined by one blank, instead: either half of any other text then
+holds whole runs. So is a text without white space. Below ``SHORT`` characters its anchors
+are all runs of one and of two characters. ``unit`` names the choice (word, char or short),
+made from the text alone; positions count units. A text is compared with its edit and with
+the next text in its own unit, the other's anchors made anew in it where they differ.
 
 The next document by ascending id comes from windows over narrow id ranges: quantiles of
 the ids, each divided evenly, so that a range holds about ``RANGE_ROWS`` rows; the first
@@ -32,6 +38,7 @@ from augmill.sources.tables import load, spread
 from .registry import register
 
 K, S = 5, 2
+FEW, SHORT = 20, 24
 RANGE_ROWS = 2_000
 _QUANTILES = 64
 _POSITION = (1 << 20) - 1
@@ -43,12 +50,20 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``: the text's anchors in ascending order, of equal hashes the first in the text."""
+def with_anchors(df: DataFrame, text: str, out: str, unit: str | None = None) -> DataFrame:
+    """Add ``out``: the text's anchors in ascending order, of equal hashes the first in the text. They are made in
+    the unit that column ``unit`` names; without one, in the text's own, which is added as ``<out>_unit``."""
     h, mers, low, pick = f"{out}_h", f"{out}_m", f"{out}_l", f"{out}_p"
+    split, joined = f"{out}_w", f"{out}_j"
     inner = K - S + 1
-    words = F.filter(F.split(F.col(text), r"[\s]+"), lambda w: w != "")
-    df = _once(df, h, F.transform(words, lambda w: F.xxhash64(w)))
+    df = _once(df, split, F.filter(F.split(F.col(text), r"[\s]+"), lambda w: w != ""))
+    df = _once(df, joined, F.array_join(split, " "))
+    if unit is None:
+        unit = f"{out}_unit"
+        longest = F.coalesce(F.array_max(F.transform(split, lambda w: F.length(w))), F.lit(0))
+        df = _once(df, unit, F.when(longest * FEW <= F.length(joined), "word").when(F.length(joined) < SHORT, "short").otherwise("char"))
+    units = F.when(F.col(unit) == "word", F.col(split)).otherwise(F.filter(F.split(F.col(joined), ""), lambda c: c != ""))
+    df = _once(df, h, F.transform(units, lambda w: F.xxhash64(w)))
     n = F.size(h)
     df = _once(df, mers, F.zip_with(F.slice(h, 1, F.greatest(n - 1, F.lit(0))), F.slice(F.col(h), 2, F.greatest(n - 1, F.lit(0))),
                                     lambda a, b: F.xxhash64(a, b)))
@@ -67,13 +82,14 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     place = F.filter(F.transform(marked, lambda x, i: F.when(x, i + 1)), lambda x: x.isNotNull())
     df = _once(df, pick, place)
     pack = lambda x, i: x.bitwiseAND(F.lit(~_POSITION)).bitwiseOR(F.least(i, F.lit(_POSITION)).cast("bigint"))
-    anchors = F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(
+    alone = F.concat(F.transform(h, lambda x, i: pack(F.xxhash64(x), i)), F.transform(mers, pack))
+    anchors = F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.col(unit) == "short", alone).when(
         F.size(h) < K, F.array(pack(F.xxhash64(h), F.lit(0)))).otherwise(
         F.transform(pick, lambda i: pack(F.xxhash64(F.slice(F.col(h), i, F.lit(K))), i - 1)))
     every = f"{out}_e"
     df = _once(df, every, F.sort_array(anchors))
     df = _once(df, out, F.filter(every, lambda x, i: (i == 0) | (_hash(x) != _hash(F.get(F.col(every), i - 1)))))
-    return df.drop(h, mers, f"{low}2", low, pick, every)
+    return df.drop(split, joined, h, mers, f"{low}2", low, pick, every)
 
 
 def fingerprint(anchors: str) -> Column:
@@ -137,20 +153,23 @@ def with_next(rows: DataFrame, carry: list[str]) -> DataFrame:
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Per document: its fingerprint, that of the text whose second half is replaced by the next
-    document's beginning, and how alike they are."""
+    document's beginning, in the same unit, and how alike they are."""
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_anchors(with_guests(rows).repartition("range"), "text", "own"), ["text", "own"])
+    rows = with_next(with_anchors(with_guests(rows).repartition("range"), "text", "own"), ["text", "own", "own_unit"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = _once(rows.withColumn("n_chars", n.cast("long")), "edited",
                  F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    rows = with_anchors(rows.drop("text", "next_text"), "edited", "changed")
-    rows = likeness(likeness(rows, "own", "changed", "near_edited"), "own", "next_own", "near_next")
-    # the word position up to which anchors stand where they stood
+    other = F.col("own_unit") != F.col("next_own_unit")
+    rows = rows.withColumn("anew", F.when(other, F.col("next_text")).otherwise("")).drop("text", "next_text")
+    rows = with_anchors(with_anchors(rows, "edited", "changed", "own_unit"), "anew", "next_anew", "own_unit")
+    rows = _once(rows, "next_alike", F.when(other, F.col("next_anew")).otherwise(F.col("next_own")))
+    rows = likeness(likeness(rows, "own", "changed", "near_edited"), "own", "next_alike", "near_next")
+    # the position up to which anchors stand where they stood
     shared = F.array_max(F.transform(F.array_intersect("own", "changed"), lambda x: x.bitwiseAND(F.lit(_POSITION))))
     return rows.select(F.col("id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                        fingerprint("own").alias("fingerprint"), fingerprint("changed").alias("edited_fingerprint"),
-                       "near_edited", "near_next", shared.alias("shared_until"))
+                       "near_edited", "near_next", shared.alias("shared_until"), F.col("own_unit").alias("unit"))
 
 
 @register("op8_syncmers")

@@ -84,6 +84,23 @@ def test_fingerprints_hold_every_distinct_anchor(spark, docs):
     assert abs(by[1].near_next - n / m) < 0.02
 
 
+def test_edits_of_short_and_unspaced_texts_are_seen(spark, docs):
+    vocabulary = "garden window copper melody thunder basket quiet velvet orange pilot humble zigzag".split()
+    strange = "8K#1 5%Q2 &X$3 7=Z9 @W4! J+6? 0;V_ H*-P {U:} R^|D /L<> C~`[".split()
+    rows = []
+    for n in range(1, 13):
+        rows += [(2 * n, " ".join(vocabulary[:n])), (2 * n + 1, " ".join(strange[:n]))]
+    letters = np.random.default_rng(5).integers(0, 26, (2, 3000))
+    rows += [(100, "".join(chr(97 + c) for c in letters[0])), (101, "".join(chr(65 + c) for c in letters[1])),
+             (102, "x"), (103, "yz"), (104, " ".join(f"word{k}" for k in range(200))), (105, "")]
+    by = {r.doc_id: r for r in syncmers.edited_fingerprints(docs(rows)).collect()}
+    for i in (*range(2, 26), 100, 101, 102, 103, 104):
+        assert by[i].near_edited > by[i].near_next, i
+    assert by[100].near_edited > 0.25 and by[100].unit == "char" and by[104].unit == "word" and by[103].unit == "short"
+    same = syncmers.edited_fingerprints(docs([(1, "a few words"), (2, "a few words"), (3, " ".join(f"w{k}" for k in range(90)))])).collect()
+    assert {r.doc_id: r.near_next for r in same}[1] == 1.0
+
+
 def labelled(spark):
     good = [(k, f"This is a calm sentence, number {k}, about gardens.") for k in range(120)]
     bad = [(k, f"BUY!! NOW!! {k}!! CHEAP!! CHEAP!!") for k in range(120, 240)]

@@ -4,10 +4,12 @@ A page is cut into blocks of text, each with the path of tags (with class) from
 to its leaf. Per path two ratios are taken over its blocks: characters of text and
 punctuation marks, each per block. Along the page both are smoothed over the
 neighbouring blocks, fused as their product, and a path is content where the fused ratio
-reaches ``THRESHOLD`` standard deviations. The smallest element that holds most of the
-content paths' text is the article; its blocks, except those inside boilerplate elements
-(menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts), are the
-text. White space inside a block is one space, blocks are joined by a blank line.
+reaches ``THRESHOLD`` standard deviations. The smallest element that holds all blocks of the
+content paths is the article, or the outermost <article> or <main> around it; its blocks,
+except those inside boilerplate elements (menus, headers, footers, sidebars, notices,
+adverts, forms, comments, scripts), are the text. A form or a class word makes no element
+boilerplate that holds most of the content paths' text; one that names comments does, unless
+it holds all of it. White space inside a block is one space, blocks are joined by a blank line.
 
 Edge cases: a null or empty page, and one without text, has an empty text and no paths;
 unclosed and stray tags are tolerated; ties between paths need no rule, all that reach
@@ -39,7 +41,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 DROPPED = frozenset(
     "script style textarea title noscript iframe xmp noembed noframes head template svg math canvas object audio video map"
-    " nav footer aside menu dialog form button select option datalist input label fieldset legend".split())
+    " nav footer aside menu dialog button select option datalist input label fieldset legend".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2"
     " h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th"
@@ -52,6 +54,8 @@ HINTS = frozenset(
     " overlay pager pagination popup privacy promo promoted promotion recommended related replies reply respond search share"
     " sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar tracking"
     " widget widgets".split())
+#: Those of them whose text may well outweigh the article's.
+TALK = frozenset("comment comments commentlist discussion disqus feedback replies reply respond".split())
 #: A start tag that ends these open elements first, up to the given ancestors.
 CLOSES = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -70,34 +74,36 @@ _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _PUNCT = re.compile(r"[.,;:!?¿¡…。、，；：！？]")
 
 
-def _boilerplate(tag: str, attrs: str, inside_article: bool) -> tuple[bool, str]:
-    """Whether the element is boilerplate, and its class for the path."""
+def _boilerplate(tag: str, attrs: str, inside_article: bool) -> tuple[bool, int, str]:
+    """Whether the element is boilerplate in any case; whether it is unless it holds most (1) or all (2) of
+    the content; its class for the path."""
     if tag in DROPPED:
-        return True, ""
+        return True, 0, ""
     if not attrs.strip():
-        return tag == "header" and not inside_article, ""
+        return tag == "header" and not inside_article, int(tag == "form"), ""
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     names = " ".join(a.get(k, "") for k in ("class", "id", "role"))
-    hint = tag not in ("html", "body", "article", "main") and not HINTS.isdisjoint(
-        w for x in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower()) for w in (x,) if w)
+    hints = HINTS.intersection(_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower())) if tag not in ("html", "body", "article", "main") else ()
+    unless = 2 if not TALK.isdisjoint(hints) else int(bool(hints) or tag == "form")
     hidden = "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", ""))
-    return bool(hint or hidden or (tag == "header" and not inside_article)), a.get("class", "")
+    return bool(hidden or (tag == "header" and not inside_article)), unless, a.get("class", "")
 
 
 class Block:
-    __slots__ = ("path", "chain", "text")
+    __slots__ = ("path", "chain", "text", "doubts", "main")
 
-    def __init__(self, path, chain, text):
-        self.path, self.chain, self.text = path, chain, text
+    def __init__(self, path, chain, text, doubts, main):
+        self.path, self.chain, self.text, self.doubts, self.main = path, chain, text, doubts, main
 
 
 def blocks(html: str) -> list[Block]:
-    """The blocks of text outside boilerplate, in page order, each with its tag path and the
-    chain of its ancestor elements."""
+    """The blocks of text outside what is boilerplate in any case, in page order, each with its tag path, the
+    chain of its ancestor elements, those of them that may be boilerplate (serial number, 1 or 2), and the
+    length of the chain down to the outermost <article> or <main> (0: none)."""
     out: list[Block] = []
     text: list[str] = []
-    # open elements: (tag, path, serial number, boilerplate, inside an article)
-    stack: list[tuple[str, str, int, bool, bool]] = [("", "", 0, False, False)]
+    # open elements: (tag, path, serial number, boilerplate, inside an article, what may be boilerplate)
+    stack: list[tuple[str, str, int, bool, bool, tuple]] = [("", "", 0, False, False, ())]
     serial = 0
 
     def flush():
@@ -108,14 +114,15 @@ def blocks(html: str) -> list[Block]:
                 k = len(stack) - 1
                 while k and stack[k][0] not in BLOCKS:
                     k -= 1
-                out.append(Block(stack[k][1], tuple(x[2] for x in stack[: k + 1]), plain))
+                main = next((j + 1 for j, x in enumerate(stack[: k + 1]) if x[0] in ("article", "main")), 0)
+                out.append(Block(stack[k][1], tuple(x[2] for x in stack[: k + 1]), plain, stack[-1][5], main))
 
     def add(chunk: str):
         if chunk and not stack[-1][3]:
             text.append(unescape(chunk))
 
     def close_to(k: int):
-        if any(x[0] in BLOCKS or x[3] for x in stack[k:]):
+        if any(x[0] in BLOCKS or x[3] for x in stack[k:]) or stack[-1][5] != stack[k - 1][5]:
             flush()
         del stack[k:]
 
@@ -174,13 +181,14 @@ def blocks(html: str) -> list[Block]:
                     break
         top = stack[-1]
         inside = top[4] or tag in ("article", "main")
-        bad, name = _boilerplate(tag, m[4], top[4])
-        if bad and not top[3]:
+        bad, unless, name = _boilerplate(tag, m[4], top[4])
+        if (bad or unless) and not top[3]:
             flush()
         if m[4].rstrip().endswith("/") and tag not in BLOCKS:
             continue
         serial += 1
-        stack.append((tag, f"{top[1]}/{tag}{'.' + '.'.join(name.split()) if name else ''}", serial, top[3] or bad, inside))
+        stack.append((tag, f"{top[1]}/{tag}{'.' + '.'.join(name.split()) if name else ''}", serial, top[3] or bad, inside,
+                      top[5] + ((serial, unless),) if unless else top[5]))
     del stack[1:]
     flush()
     return out
@@ -203,22 +211,36 @@ def content_paths(found: list[Block]) -> dict[str, float]:
     return {p: x for p, x in best.items() if x >= limit}
 
 
+def clean(every: list[Block]) -> list[Block]:
+    """The blocks outside boilerplate: what may be boilerplate is, unless it holds enough of the content paths' text."""
+    if not any(b.doubts for b in every):
+        return every
+    paths = content_paths(every)
+    weight: dict[tuple, int] = defaultdict(int)
+    total = 0
+    for b in every:
+        if b.path in paths:
+            total += len(b.text)
+            for x in b.doubts:
+                weight[x] += len(b.text)
+    kept = {x for x, w in weight.items() if w == total or (x[1] == 1 and 2 * w > total)}
+    return [b for b in every if kept.issuperset(b.doubts)]
+
+
 def extract(html: str | None) -> tuple[str, list[str]]:
     """Main text and content paths of one page."""
-    found = blocks(html or "")
+    found = clean(blocks(html or ""))
     if not found:
         return "", []
     paths = content_paths(found)
-    weight: dict[tuple, int] = defaultdict(int)
-    total = 0
-    for b in found:
-        if b.path in paths:
-            total += len(b.text)
-            for k in range(1, len(b.chain) + 1):
-                weight[b.chain[:k]] += len(b.text)
-    article = max((c for c, w in weight.items() if 2 * w > total), key=len, default=())
+    content = [b for b in found if b.path in paths]
+    first, last = min(b.chain for b in content), max(b.chain for b in content)
+    k = next((k for k, (x, y) in enumerate(zip(first, last, strict=False)) if x != y), min(len(first), len(last)))
+    if 0 < content[0].main < k:
+        k = content[0].main
+    article = first[:k]
     inner = [b for b in found if b.chain[: len(article)] == article]
-    if len(inner) == 1 and len(article) > 1:  # one paragraph isn't an article: take what encloses it
+    while len(inner) == 1 and len(article) > 1:  # one paragraph isn't an article: take what encloses it
         article = article[:-1]
         inner = [b for b in found if b.chain[: len(article)] == article]
     return "\n\n".join(b.text for b in inner), sorted(paths)

@@ -48,6 +48,22 @@ PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head>
 <form><p>Sign up, now.</p></form><footer>(c)</footer></body></html>"""
 
 
+def test_nothing_but_boilerplate_is_dropped():
+    prose = lambda n, w: "".join(f"<p>{w} {k}, a sentence; and some more words, it goes on, here.</p>" for k in range(n))
+    has = lambda html, *words: [w in html_text.extract(html)[0] for w in words]
+    nested = f"<body><nav>Menu</nav><article><h1>Head</h1><section>{prose(6, 'one')}</section><section>{prose(4, 'two')}</section></article></body>"
+    assert has(nested, "Head", "one 5", "two 3", "Menu") == [True, True, True, False]
+    assert has(nested.replace("article", "div"), "Head", "one 5", "two 3", "Menu") == [True, True, True, False]
+    items = "".join(f"<li>item {k}, which is long; it has words, marks, and more.</li>" for k in range(9))
+    assert has(f"<article><h1>Head</h1><p>Lead, a sentence.</p><ul>{items}</ul><p>End, another.</p></article>", "Head", "Lead", "item 8", "End") == [True] * 4
+    side = f"<div class=sidebar>{prose(1, 'side')}</div>"
+    for tag in ('div class="layout with-sidebar"', "form action=x", 'form class="login" method=post'):
+        page = f"<body><{tag}><h1>Head</h1>{prose(8, 'text')}{side}</{tag.split()[0]}><footer>(c)</footer></body>"
+        assert has(page, "Head", "text 7", "side", "(c)") == [True, True, False, False]
+    # long comments under a short article are comments still
+    assert has(f"<body><article>{prose(2, 'text')}</article><div class=comments>{prose(9, 'reply')}</div></body>", "text 1", "reply") == [True, False]
+
+
 def test_article_without_boilerplate(spark):
     text = ("Title\n\nFirst paragraph, with words & marks; more of it, and more.\n\nShort.\n\nOne, item.\n\nTwo, item\n\n"
             "Second long paragraph, it goes on, and on, and on.")

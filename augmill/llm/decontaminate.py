@@ -11,8 +11,9 @@ only if its essential words there weigh ``THRESHOLD - COMMON``. The lists of ess
 are added up for all passages at once; those that some item can still reach go through
 block-max WAND over the whole lists, which finds all items at or above ``THRESHOLD``.
 Each hit is verified: of the item's question and of its answer (the last sentence; the
-second half, if there is one sentence), the share of word 3-grams that the passage and
-``STEP`` words around it hold must reach ``OVERLAP``.
+second half, if there is one sentence), the share of word 3-grams that the passage and as
+many words as the item has, ``STEP`` at least, on either side hold must reach ``OVERLAP``;
+so a whole copy of an item of any length is found.
 
 The items are indexed in blocks of at most ``BLOCK_TERMS`` postings, counted before they
 are collected; each block's index is broadcast, and every document meets every block.
@@ -250,7 +251,8 @@ def _search_rows(index: Index, data: np.ndarray, offs: np.ndarray, threshold: fl
         known = np.unique(term[a:b])
         for item, score in index.search(known.tolist(), threshold):
             nq, q, na, answer = index.needs[item]
-            near = h[max(lo - STEP, int(first[r])) : min(hi + STEP, int(first[r + 1]))]
+            reach = max(STEP, nq + na)
+            near = h[max(lo - reach, int(first[r])) : min(hi + reach, int(first[r + 1]))]
             have = {n: grams(near, n) for n in {max(min(3, nq), 1), max(min(3, na), 1)}}
             share = lambda g, n: float(np.isin(g, have[max(min(3, n), 1)]).mean()) if len(g) else 1.0
             found = (score, share(q, nq), share(answer, na), lo - int(first[r]))

@@ -130,6 +130,18 @@ def test_leaks(spark, docs, odd_rows):
     assert decontaminate.find_leaks(docs(rows), table.where("false")).count() == 0
 
 
+def test_leaks_of_long_items(spark, docs):
+    rng = random.Random(8)
+    long, short = sentence(rng, 1980) + ". " + sentence(rng, 20) + ".", sentence(rng, 15) + ". " + sentence(rng, 5) + "."
+    table = spark.createDataFrame([(1, long), (2, short)], "item_id bigint, text string")
+    copy = f"{sentence(rng, 333)} {long} {sentence(rng, 50)}"
+    half = " ".join(long.split()[:700])  # neither half of the question nor the answer
+    rows = [(1, copy), (2, f"{sentence(rng, 90)} {half} {sentence(rng, 90)}"), (3, long), (4, f"{sentence(rng, 70)} {short}")]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(docs(rows), table).collect()}
+    assert set(got) == {(1, 1), (3, 1), (4, 2)}
+    assert got[1, 1].question_overlap > 0.99 and got[1, 1].answer_overlap == 1.0
+
+
 def test_wand_finds_all_above_the_threshold(spark):
     rng = np.random.default_rng(3)
     lists = []

@@ -134,7 +134,8 @@ class Index:
         return at[ok], k[ok]
 
     def reachable(self, block: np.ndarray, term: np.ndarray, least: float) -> np.ndarray:
-        """Blocks of words that, with the block after, hold essential words of ``least`` weight of some item."""
+        """Blocks of words that, with the block after, hold essential words of ``least`` weight of some item; the
+        block before a row's first may be among them."""
         lists = self.rare[term + 1] - self.rare[term]
         where = np.repeat(np.arange(len(term)), lists)
         post = np.arange(len(where)) - np.repeat(np.cumsum(lists) - lists, lists) + self.rare[term][where]
@@ -142,7 +143,9 @@ class Index:
         weight = np.bincount(at, self.rare_impact[post], minlength=len(key))
         after = np.searchsorted(key, key + len(self.ids))
         more = np.where(key[np.minimum(after, len(key) - 1)] == key + len(self.ids), weight[np.minimum(after, len(key) - 1)], 0) if len(key) else weight
-        return np.unique(key[weight + more >= least] // max(len(self.ids), 1))
+        # the block before may hold common words of the item alone; where it holds essential ones it has a key of its own
+        found = np.concatenate([key[weight + more >= least], key[weight >= least] - len(self.ids)])
+        return np.unique(found[found >= 0] // max(len(self.ids), 1))
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose impacts over ``terms`` sum to the threshold at least, by block-max WAND."""
@@ -243,6 +246,8 @@ def _search_rows(index: Index, data: np.ndarray, offs: np.ndarray, threshold: fl
     block = start[row[at]] + (at - first[row[at]]) // STEP
     passages = index.reachable(block, term, threshold - COMMON - 1e-9)
     owner = np.searchsorted(start, passages, "right") - 1
+    inside = passages - start[owner] < blocks[owner] - 1  # not the empty block after a row
+    passages, owner = passages[inside], owner[inside]
     best: dict[tuple[int, int], tuple] = {}
     for r, p in zip(owner.tolist(), passages.tolist(), strict=True):
         lo = int(first[r] + (p - start[r]) * STEP)

@@ -142,6 +142,31 @@ def test_leaks_of_long_items(spark, docs):
     assert got[1, 1].question_overlap > 0.99 and got[1, 1].answer_overlap == 1.0
 
 
+def test_passages_across_a_block_edge_are_searched():
+    # an item of 4 essential and 30 common words, so that it needs some of both
+    common = [f"c{k}" for k in range(30)]
+    rare = [f"r{k}" for k in range(4)]
+    hashes = {w: decontaminate.text_words(w)[0] for w in (*common, *rare)}
+    w = np.array([hashes[x] for x in (*common, *rare)], np.uint64)
+    impact = np.array([0.34 / 30] * 30 + [0.66 / 4] * 4)
+    idf = np.array([1.0] * 30 + [9.0] * 4)
+    order = np.argsort(w)
+    text = " ".join([*common, *rare])
+    index = decontaminate.Index([7], [text], [(w[order], impact[order], idf[order])])
+    copy = [*common, *rare[:3]]  # an edited copy: 0.34 + 0.495
+    threshold, step = 0.8, decontaminate.STEP
+    for offset in range(2 * step):
+        words = [f"x{k}" for k in range(offset)] + copy + [f"y{k}" for k in range(200)]
+        rows = [" ".join(f"z{k}" for k in range(45)), " ".join(words)]  # a row before it, whose empty block isn't a passage
+        data = np.frombuffer("".join(rows).encode(), np.uint8)
+        offs = np.array([0, len(rows[0]), len(data)])
+        known = {x: v for x, v in zip((*common, *rare), impact, strict=True)}
+        want = max(sum(known.get(x, 0) for x in words[k : k + 2 * step]) for k in range(0, len(words), step))
+        got = list(decontaminate._search_rows(index, data, offs, threshold, 0.0))
+        assert [(r, i) for r, i, *_ in got] == ([(1, 0)] if want >= threshold else []), offset
+        assert not got or abs(got[0][2] - want) < 1e-9, offset
+
+
 def test_wand_finds_all_above_the_threshold(spark):
     rng = np.random.default_rng(3)
     lists = []

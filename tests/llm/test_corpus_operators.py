@@ -182,6 +182,15 @@ def test_wand_finds_all_above_the_threshold(spark):
         assert {k for k, _ in index.search(terms, 0.5)} == want
 
 
+def test_repeated_rows_stay_once(spark, docs, sf_dir):
+    rng = random.Random(9)
+    texts = [sentence(rng, 40) for _ in range(6)]
+    rows = [(1, texts[0])] * 3 + [(2, texts[1]), (2, texts[2]), (2, texts[1])] + [(3, texts[0])] + [(4, None)] * 2 + [(None, texts[5])] * 2
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs(rows), sf_dir).collect()]
+    want = [(1, texts[0]), (2, texts[1]), (2, texts[2]), (4, None), (None, texts[5]), (None, texts[5])]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5

@@ -88,7 +88,8 @@ def count_tokens(df: DataFrame, path: str, cache: str, id_col: str = "doc_id", t
     key = F.coalesce(F.col("id").cast("bigint"), F.lit(_NO_ID))
     one = rows.select("content_digest", key.alias("key")).groupBy("content_digest").agg(F.min("key").alias("key"))
     missing = one.join(read_cache(spark, cache, tokenizer), "content_digest", "left_anti")
-    texts = rows.withColumn("key", key).join(missing, ["key", "content_digest"], "left_semi")
+    # Rows that repeat the id and the text (or have none) are one miss; the join has dealt them out by both already.
+    texts = rows.withColumn("key", key).join(missing, ["key", "content_digest"], "left_semi").dropDuplicates(["key", "content_digest"])
 
     def work(batches):
         count = _counter(path)

@@ -3,9 +3,9 @@
 Tier one: a minimal perfect hash over the vocabulary resolves a pre-token that is a
 token as a whole with one probe and one comparison. Tier two: a pre-token that isn't
 is merged from its bytes, a linked list of parts with a heap of candidate merges, in
-O(n log n) for n bytes. Pre-tokens met before are remembered per worker, up to
-``REMEMBER``; the memory is emptied when full, so it is bounded and never decides
-a result.
+O(n log n) for n bytes. Pre-tokens met before are remembered within a task, up to
+``REMEMBER`` bytes; the memory is emptied when full and when the task ends, so it is
+bounded, stays with no idle worker, and never decides a result.
 
 Edge cases: a null text is empty and gives no ids; repeated rows each give their row;
 an empty table gives an empty table; special-token strings are ordinary text. Input
@@ -31,8 +31,9 @@ from augmill.sources.tables import load, spread
 
 from .registry import register
 
-#: Pre-tokens that a worker remembers; about 150 bytes each.
-REMEMBER = 600_000
+#: Bytes of pre-tokens and their ids that a task remembers, with ``OVERHEAD`` for the objects of each.
+REMEMBER = 16 << 20
+OVERHEAD = 200
 
 _MASK = (1 << 64) - 1
 
@@ -106,14 +107,22 @@ class Bpe(dict):
                 if a is not None and b is not None:
                     self.pairs[a << 32 | b] = rank
         self.find = Pretokens(pattern)
+        self.held = 0
+
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
 
     def __missing__(self, pretoken: str) -> bytes:
         raw = pretoken.encode()
         rank = self.whole.get(raw)
         ids = array("i", (rank,) if rank >= 0 else self.merged(raw)).tobytes()
-        if len(self) >= REMEMBER:
-            self.clear()
-        self[pretoken] = ids
+        size = OVERHEAD + 4 * len(pretoken) + len(ids)
+        if size <= REMEMBER >> 4:
+            if self.held + size > REMEMBER:
+                self.forget()
+            self.held += size
+            self[pretoken] = ids
         return ids
 
     def merged(self, raw: bytes) -> list[int]:
@@ -189,15 +198,18 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     def work(batches):
         bpe = _loaded(path, pattern)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
-                offs = np.cumsum([0, *map(len, ids)])
-                flat = np.concatenate(ids or [np.empty(0, np.int32)])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat, pa.int32()))],
-                    names=[id_col, "token_ids"])
+        try:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    part = batch.slice(lo, 256)
+                    ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
+                    offs = np.cumsum([0, *map(len, ids)])
+                    flat = np.concatenate(ids or [np.empty(0, np.int32)])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat, pa.int32()))],
+                        names=[id_col, "token_ids"])
+        finally:
+            bpe.forget()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(work, f"`{id_col}` {kind}, token_ids array<int>")

@@ -1,7 +1,7 @@
 """Text scalar operators (T1-T10) as built-in column expressions.
 
-All regex classes are spelled out in ASCII so that Spark (Java regex) and the
-DuckDB oracle (RE2) agree; Java's ``\\s`` and Python's ``\\s`` differ.
+All regex classes are spelled out so that Spark (Java regex) and the DuckDB
+oracle (RE2) agree; white space is what Python's ``str.split`` takes for it.
 """
 
 from __future__ import annotations
@@ -28,9 +28,11 @@ STOP_WORDS = [
 # The AEDA punctuation marks, in the reference's order.
 PUNCTUATIONS = [".", ",", "!", "?", ";", ":"]
 
-# ASCII whitespace as Java's \s sees it (space, TAB, NL, VT, FF, CR).
-WS_CLASS = "[ \\t\\n\\x0B\\f\\r]"
-NON_WS_CLASS = "[^ \\t\\n\\x0B\\f\\r]"
+# The characters that Python's str.split() and str.strip() take for white space,
+# spelled out so that Java's and RE2's expressions agree.
+WS = r"\t-\r\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WS_CLASS = f"[{WS}]"
+NON_WS_CLASS = f"[^{WS}]"
 
 
 def duck_str_list(values) -> str:
@@ -59,7 +61,7 @@ def clean_decoded(text: Column) -> Column:
     """Remove [unusedN], drop chars outside letters/digits/whitespace/.,!?',
     collapse whitespace, trim, remove ' ##'."""
     t = F.regexp_replace(text, "\\[unused[0-9]+\\]", "")
-    t = F.regexp_replace(t, "[^a-zA-Z0-9 \\t\\n\\x0B\\f\\r.,!?']", "")
+    t = F.regexp_replace(t, f"[^a-zA-Z0-9{WS}.,!?']", "")
     t = F.regexp_replace(t, WS_CLASS + "+", " ")
     t = F.trim(t)
     return F.replace(t, F.lit(" ##"), F.lit(""))
@@ -90,9 +92,13 @@ def truncate(words: Column, n: int) -> Column:
     return F.slice(words, 1, n)
 
 
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, "^" + WS_CLASS + "+|" + WS_CLASS + "+$", "")
+
+
 def lower_strip(text: Column) -> Column:
     """Lowercase and strip surrounding whitespace."""
-    return F.lower(F.regexp_replace(text, "^" + WS_CLASS + "+|" + WS_CLASS + "+$", ""))
+    return F.lower(strip(text))
 
 
 def ids_until_eos(ids: Column, eos: int = 2) -> Column:
@@ -108,7 +114,11 @@ def normalise_hypothesis(text: Column) -> Column:
 
 # DuckDB twins used by the oracle SQL ---------------------------------------
 
-DUCK_WS = "[ \\t\\n\\x0B\\f\\r]"
+DUCK_WS = WS_CLASS
+
+
+def duck_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{DUCK_WS}+|{DUCK_WS}+$', '', 'g')"
 
 
 def duck_clean_letters(x: str) -> str:
@@ -118,6 +128,12 @@ def duck_clean_letters(x: str) -> str:
     return f"regexp_replace({t}, '^ ', '')"
 
 
+def duck_clean_decoded(x: str) -> str:
+    t = f"regexp_replace({x}, '\\[unused[0-9]+\\]', '', 'g')"
+    t = f"regexp_replace({t}, '[^a-zA-Z0-9{WS}.,!?'']', '', 'g')"
+    return f"replace(trim(regexp_replace({t}, '{WS_CLASS}+', ' ', 'g')), ' ##', '')"
+
+
 def duck_split_ws(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '{DUCK_WS}+'), lambda w: w <> '')"
 
@@ -127,4 +143,4 @@ def duck_split_nonempty(x: str) -> str:
 
 
 def duck_not_blank(x: str) -> str:
-    return f"regexp_matches({x}, '[^ \\t\\n\\x0B\\f\\r]')"
+    return f"regexp_matches({x}, '{NON_WS_CLASS}')"

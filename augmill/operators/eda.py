@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from augmill.functions import draws as D
 from augmill.functions import text as T
-from augmill.operators.common import barrier
+from augmill.operators.common import barrier, fan_out
 
 TECHS = ["sr", "ri", "rs", "rd"]
 
@@ -129,7 +129,7 @@ def single_technique(df: DataFrame, syn: DataFrame, tech: str, naug: int = 2, al
                      seed: int = 1) -> DataFrame:
     """A1-A4 alone: ``naug`` copies of every row with at least one word."""
     base = prepare(df, syn).where(F.col("n") > 0)
-    c = base.withColumn("cand", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(int(naug)).cast("bigint"))))
+    c = fan_out(base, naug).withColumnRenamed("copy_no", "cand")
     c = TECH_FN[tech](c, alpha, seed)
     return c.select("src_id", F.lit(f"eda_{tech}").alias("technique"), F.col("cand").alias("copy_no"),
                     F.array_join("new_words", " ").alias("text"), "label", F.lit(False).alias("is_original"))

@@ -5,12 +5,13 @@ The reference looks synonyms up in WordNet. Here the resource is an input table
 itself (distributional neighbours), and any user table of the same shape can be
 passed instead.
 
-L3 definition: a context is the (left, right) neighbour pair of a token. Each
-context's *typical words* are its K most frequent words (count desc, word asc).
-The partners of ``w`` are the typical words of the contexts ``w`` occurs in;
-partners are scored by the number of shared contexts and the best ``top``
-(score desc, partner asc) become ``w``'s lemmas. The join is bounded by
-K x distinct (word, context) pairs; no all-pairs expansion inside a context.
+L3 definition: a context is the (left, right) neighbour pair of a token, and its words have
+their counts in it. Every (context, word) draws ``draws`` partners among the context's other
+words, each as likely as it is frequent there: no word is beyond reach, whatever its rank. A
+word's partners are scored by the number of draws they were met in, and the best ``top``
+(score desc, partner asc), the stated size of a lexicon entry, become its lemmas. The work is
+``draws`` rows per distinct (context, word); contexts are split for their running counts and
+for the draws, so a frequent context doesn't gather in a task.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from augmill.functions import draws as D
 from augmill.functions import text as T
+from augmill.operators.running import drawn, duck_running, other_than_own, running_counts
 
 
 def context_triples(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -31,21 +33,19 @@ def context_triples(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return w.select(F.explode(z).alias("t")).select("t.lft", "t.word", "t.rgt")
 
 
-def lexicon_from_contexts(docs: DataFrame, k_context: int = 8, top: int = 8, text_col: str = "text") -> DataFrame:
-    """L3: returns (word, lemma, rank) with rank 1..top.
-
-    One window per context, sorted by (count desc, word asc), hands every
-    member row the context's first ``k_context`` words (``nth_value``) and
-    the context size; members then pair with those typical words (never with
-    themselves). No self join, no per-context list of all words."""
-    cc = context_triples(docs, text_col).groupBy("lft", "rgt", "word").agg(F.count(F.lit(1)).alias("cnt"))
-    ctx = (Window.partitionBy("lft", "rgt").orderBy(F.desc("cnt"), F.asc("word"))
-           .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    typical = [F.nth_value("word", i).over(ctx) for i in range(1, k_context + 1)]
-    members = cc.select("word", F.count(F.lit(1)).over(ctx).alias("k"), F.array(*typical).alias("typ"))
-    # a context with a single distinct word can only pair a word with itself: exact pruning
-    partners = members.where(F.col("k") >= 2).select(
-        "word", F.explode(F.array_remove(F.array_compact("typ"), F.col("word"))).alias("partner"))
+def context_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(lft, rgt, word, cnt)"""
+    return context_triples(docs, text_col).groupBy("lft", "rgt", "word").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def lexicon_from_contexts(docs: DataFrame, draws: int = 8, top: int = 8, seed: int = 0, text_col: str = "text") -> DataFrame:
+    """L3: returns (word, lemma, rank) with rank 1..top."""
+    context = ["lft", "rgt"]
+    # a word that is alone in a context draws nothing there
+    counts = running_counts(context_counts(docs, text_col), context).where("total > cnt")
+    each = counts.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("k"))
+    r = other_than_own(D.draw("lexicon", seed, F.col("lft"), F.col("rgt"), F.col("word"), F.col("k")), F.col("lo"), F.col("cnt"), F.col("total"))
+    partners = drawn(each.select(*context, "word", r.alias("r")), counts, context, "partner")
     shared = partners.groupBy("word", "partner").agg(F.count(F.lit(1)).alias("shared"))
     by_word = Window.partitionBy("word").orderBy(F.desc("shared"), F.asc("partner"))
     return (
@@ -83,15 +83,20 @@ def pick_synonym(syns_df: DataFrame, seed: int = 0) -> DataFrame:
 
 # DuckDB twins -----------------------------------------------------------------
 
-def duck_lexicon(docs: str, k_context: int = 8, top: int = 8) -> str:
+def duck_context_counts(docs: str) -> str:
     toks = f"list_filter(string_split({T.duck_clean_letters('text')}, ' '), lambda x: x <> '')"
-    return f"""(WITH tk AS (SELECT w FROM (SELECT {toks} AS w FROM {docs}) WHERE len(w) >= 3),
-  tri AS (SELECT unnest(w[1:len(w)-2]) AS lft, unnest(w[2:len(w)-1]) AS word, unnest(w[3:len(w)]) AS rgt FROM tk),
-  cc AS (SELECT lft, rgt, word, count(*) AS cnt FROM tri GROUP BY ALL),
-  typ AS (SELECT lft, rgt, word AS partner FROM (
-      SELECT *, row_number() OVER (PARTITION BY lft, rgt ORDER BY cnt DESC, word ASC) AS r FROM cc) WHERE r <= {k_context}),
-  sh AS (SELECT c.word, t.partner, count(*) AS shared FROM cc c JOIN typ t ON c.lft = t.lft AND c.rgt = t.rgt
-         WHERE c.word <> t.partner GROUP BY ALL)
+    return f"""(SELECT lft, rgt, word, count(*) AS cnt FROM (
+      SELECT unnest(w[1:len(w)-2]) AS lft, unnest(w[2:len(w)-1]) AS word, unnest(w[3:len(w)]) AS rgt
+      FROM (SELECT {toks} AS w FROM {docs}) WHERE len(w) >= 3) GROUP BY ALL)"""
+
+
+def duck_lexicon(docs: str, draws: int = 8, top: int = 8, seed: int = 0) -> str:
+    draw = D.sql_draw("lexicon", seed, "lft", "rgt", "word", "k")
+    return f"""(WITH run AS MATERIALIZED (SELECT * FROM {duck_running(duck_context_counts(docs), 'lft, rgt')} WHERE total > cnt),
+  dr AS (SELECT lft, rgt, word, lo, cnt, {draw} % (total - cnt) AS r FROM run, range(0, {draws}) t(k)),
+  sh AS (SELECT d.word, m.word AS partner, count(*) AS shared FROM (
+      SELECT lft, rgt, word, r + CASE WHEN r >= lo THEN cnt ELSE 0 END AS r FROM dr) d
+      JOIN run m ON m.lft = d.lft AND m.rgt = d.rgt AND m.lo <= d.r AND d.r < m.hi GROUP BY ALL)
   SELECT word, partner AS lemma, rank FROM (
       SELECT *, row_number() OVER (PARTITION BY word ORDER BY shared DESC, partner ASC) AS rank FROM sh)
   WHERE rank <= {top})"""

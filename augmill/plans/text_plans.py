@@ -17,13 +17,7 @@ def q_clean_letters(spark, sf_dir):
     return TB.labelled(spark, sf_dir).select("src_id", T.clean_letters(F.col("text")).alias("text"))
 
 
-_DUCK_CLEAN_DECODED = (
-    "replace(trim(regexp_replace(regexp_replace(regexp_replace(text, '\\[unused[0-9]+\\]', '', 'g'), "
-    "'[^a-zA-Z0-9 \\t\\n\\x0B\\f\\r.,!?'']', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), ' ##', '')"
-)
-
-
-@register("clean_decoded", f"SELECT src_id, {_DUCK_CLEAN_DECODED} AS text FROM {L}")
+@register("clean_decoded", f"SELECT src_id, {T.duck_clean_decoded('text')} AS text FROM {L}")
 def q_clean_decoded(spark, sf_dir):
     return TB.labelled(spark, sf_dir).select("src_id", T.clean_decoded(F.col("text")).alias("text"))
 
@@ -100,7 +94,7 @@ def q_truncate_words(spark, sf_dir):
 @register(
     "lower_strip",
     f"""SELECT src_id, sent_no,
-        lower(regexp_replace(text, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')) AS text FROM {S}""",
+        lower({T.duck_strip('text')}) AS text FROM {S}""",
 )
 def q_lower_strip(spark, sf_dir):
     return TB.sentences(spark, sf_dir).select("src_id", "sent_no", T.lower_strip(F.col("text")).alias("text"))

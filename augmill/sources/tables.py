@@ -92,7 +92,7 @@ DUCK_SENTENCES = (
     "(SELECT src_id, sent_no, text, label FROM ("
     "SELECT src_id, label, unnest(string_split(text, chr(10))) AS text, "
     "generate_subscripts(string_split(text, chr(10)), 1) - 1 AS sent_no "
-    f"FROM {DUCK_LABELLED}) WHERE regexp_matches(text, '[^ \\t\\n\\x0B\\f\\r]'))"
+    f"FROM {DUCK_LABELLED}) WHERE {T.duck_not_blank('text')})"
 )
 
 DUCK_PAIRS = (

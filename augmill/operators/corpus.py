@@ -14,6 +14,7 @@ from augmill.functions import draws as D
 from augmill.functions import text as T
 from augmill.operators.common import barrier
 from augmill.operators.indexing import global_index
+from augmill.session import cut_lineage
 
 UNK, BOS, EOS = 0, 1, 2
 SPECIALS = [("UUUNKKK", UNK), ("<bos>", BOS), ("<eos>", EOS)]
@@ -34,9 +35,50 @@ def token_counts(sides: DataFrame) -> DataFrame:
         F.min(F.struct("conv_id", "turn", "side", "pos")).alias("first"))
 
 
+def _smallest(rows: DataFrame, key: str, n: int, bins: int = 4096) -> DataFrame:
+    """The n rows with the smallest ``key`` (bigint), and all that tie with the last of them: histograms of
+    at most ``bins`` + 1 rows narrow the range in which the n-th lies, until it is a single value."""
+    lo, hi = rows.agg(F.min(key), F.max(key)).first()
+    before = 0
+    while lo is not None and hi > lo:
+        width = max(1, -(-(hi - lo + 1) // bins))
+        at = F.floor((F.col(key) - lo) / width).cast("bigint")
+        for bin_, found in sorted(rows.where(F.col(key).between(lo, hi)).groupBy(at.alias("bin")).count().collect()):
+            if before + found >= n:
+                lo, hi = lo + bin_ * width, min(hi, lo + (bin_ + 1) * width - 1)
+                break
+            before += found
+        else:
+            break
+    return rows if lo is None else rows.where(F.col(key) <= hi)
+
+
+def top_counts(counts: DataFrame, k: int) -> DataFrame:
+    """The k rows of (word, cnt, first struct<conv_id, ...>) with the largest count, of equal ones those met
+    first. The count of the k-th is found from histograms, so only the ties at the cut-off are ordered,
+    and of those only the ones of the conversation in which the cut falls."""
+    counts = cut_lineage(counts)
+    if counts.count() <= k:
+        return counts
+    negative = counts.withColumn("_n", -F.col("cnt"))
+    kept = _smallest(negative, "_n", k)
+    total = kept.count()
+    if total <= k:
+        return kept.drop("_n")
+    last = kept.agg(F.max("_n")).first()[0]
+    sure, ties = kept.where(F.col("_n") < last), kept.where(F.col("_n") == last).withColumn("_c", F.col("first.conv_id"))
+    wanted = k - sure.count()
+    ties = _smallest(ties, "_c", wanted)
+    if ties.count() > wanted:
+        edge = ties.agg(F.max("_c")).first()[0]
+        inside = ties.where(F.col("_c") < edge)
+        ties = inside.unionByName(ties.where(F.col("_c") == edge).orderBy("first").limit(wanted - inside.count()))
+    return sure.unionByName(ties.drop("_c")).drop("_n")
+
+
 def vocab(sides: DataFrame, k: int = 50000) -> DataFrame:
     """V1+V2: top-k words get index rank+3; 0/1/2 are reserved."""
-    top = token_counts(sides).orderBy(F.desc("cnt"), F.asc("first")).limit(k)
+    top = top_counts(token_counts(sides), k)
     # the unpartitioned window only sees the k survivors of the top-k (bounded by k)
     ranked = top.withColumn("idx", (F.row_number().over(Window.orderBy(F.desc("cnt"), F.asc("first"))) + 2).cast("bigint"))
     specials = sides.sparkSession.createDataFrame(SPECIALS, "word string, idx bigint")
@@ -122,10 +164,10 @@ def scramble(sides: DataFrame, p: float = 0.5, seed: int = 0) -> DataFrame:
     return s.select("conv_id", "turn", "side", F.array_join(w, " ").alias("text"), F.array_join(t, " ").alias("tags"))
 
 
-def batches(enc: DataFrame, batch_size: int = 30, seed: int = 0) -> DataFrame:
-    """V7: a permutation (hash order of the pair id), cut into consecutive
+def batches(pairs: DataFrame, batch_size: int = 30, seed: int = 0) -> DataFrame:
+    """V7: a permutation (hash order of the pair id) of the pairs (conv_id, turn, ...), cut into consecutive
     blocks of ``batch_size``; the last one may be short."""
-    pairs = enc.select("conv_id", "turn").distinct().withColumn("_pid", F.concat_ws(":", "conv_id", "turn"))
+    pairs = pairs.select("conv_id", "turn").distinct().withColumn("_pid", F.concat_ws(":", "conv_id", "turn"))
     idx = global_index(pairs, [], D.sort_key("batch", seed, F.col("_pid")), "_pid", size_out=None)
     return idx.select("conv_id", "turn", F.floor(F.col("idx") / batch_size).cast("bigint").alias("batch_no"))
 
@@ -171,12 +213,12 @@ def cosine(a: F.Column, b: F.Column) -> F.Column:
     return F.when(den > 0, dot / den)
 
 
-def average_vectors(sides: DataFrame, vectors: DataFrame, dim: int = 64) -> DataFrame:
-    """V9: mean vector over the known tokens of each side."""
-    ex = sides.select("conv_id", "turn", "side", F.explode("toks").alias("word"))
-    j = ex.join(vectors, "word")
-    per_dim = j.select("conv_id", "turn", "side", F.posexplode("vec").alias("d", "x")).groupBy(
-        "conv_id", "turn", "side", "d").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("n"))
-    return per_dim.groupBy("conv_id", "turn", "side").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda e: e["x"]).alias("avg_vec"),
-        F.max("n").cast("bigint").alias("n_known"))
+def average_vectors(rows: DataFrame, vectors: DataFrame, dim: int = 64, keys: tuple = ("conv_id", "turn", "side")) -> DataFrame:
+    """V9: mean vector over the known tokens of each row of ``toks``. A row's words are counted before
+    they meet the vectors, and the sums are ``dim`` plain aggregates: no row per token or dimension."""
+    words = rows.select(*keys, F.explode("toks").alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
+    j = words.join(vectors, "word")
+    sums = j.groupBy(*keys).agg(F.sum("n").alias("n_known"), *[
+        F.sum(F.col("n") * F.col("vec")[d].cast("double")).alias(f"_s{d}") for d in range(dim)])
+    return sums.select(*keys, F.array(*[F.col(f"_s{d}") / F.col("n_known") for d in range(dim)]).alias("avg_vec"),
+                       F.col("n_known").cast("bigint").alias("n_known"))

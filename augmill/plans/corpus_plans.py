@@ -11,7 +11,6 @@ from augmill.plans.registry import register
 from augmill.session import cut_lineage
 from augmill.sources import tables as TB
 
-_LS = "lower(regexp_replace({x}, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g'))"
 _STOP = T.duck_str_list(T.STOP_WORDS)
 
 
@@ -22,8 +21,8 @@ def _tag(w):
 
 
 BASE_CTES = f"""sides AS (
-    SELECT conv_id, turn, 1 AS side, string_split({_LS.format(x='s1')}, ' ') AS toks FROM {TB.DUCK_PAIRS}
-    UNION ALL SELECT conv_id, turn, 2 AS side, string_split({_LS.format(x='s2')}, ' ') AS toks FROM {TB.DUCK_PAIRS}),
+    SELECT conv_id, turn, 1 AS side, string_split(lower({T.duck_strip('s1')}), ' ') AS toks FROM {TB.DUCK_PAIRS}
+    UNION ALL SELECT conv_id, turn, 2 AS side, string_split(lower({T.duck_strip('s2')}), ' ') AS toks FROM {TB.DUCK_PAIRS}),
   ex AS (SELECT conv_id, turn, side, unnest(toks) AS word, generate_subscripts(toks, 1) - 1 AS pos FROM sides),
   tc AS (SELECT word, count(*) AS cnt, min({{'conv_id': conv_id, 'turn': turn, 'side': side, 'pos': pos}}) AS first
          FROM ex GROUP BY word),
@@ -126,7 +125,7 @@ _BATCH = f"""bt AS (SELECT conv_id, turn, (floor((row_number() OVER (ORDER BY
 
 @register("batches", f"WITH {BASE_CTES}, {_BATCH} SELECT conv_id, turn, batch_no FROM bt")
 def q_batches(spark, sf_dir):
-    return C.batches(_enc(spark, sf_dir))
+    return C.batches(TB.pairs(spark, sf_dir))
 
 
 @register("pad_batches", f"""WITH {BASE_CTES}, {_BATCH},

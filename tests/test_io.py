@@ -61,7 +61,7 @@ def test_sinks_and_materialize(spark, tmp_path):
         return df
 
     FS.materialize(spark, build, str(tmp_path / "m"))
-    FS.materialize(spark, build, str(tmp_path / "m"))
+    assert FS.materialize(spark, build, str(tmp_path / "m")).count() == 2
     assert len(calls) == 1
 
 
@@ -76,6 +76,104 @@ def test_align_parallel(spark):
 
 def test_positional_csv_windows_1252(spark, tmp_path):
     p = tmp_path / "aeda.csv"
-    p.write_bytes("sentence,label\ncafé “quoted”,1\nshort\n".encode("cp1252"))
-    rows = FS.read_positional_csv(spark, str(p), encoding="windows-1252").collect()
-    assert [(r.text, r.label) for r in rows] == [("café “quoted”", "1")]
+    p.write_bytes("sentence,label\ncafé “quoted”,1\nshort\nempty label,\n,\n\"a, \"\"b\"\"\",2\nthree,3,more\n\"one, field\"\n".encode("cp1252"))
+    good, short = FS.positional_csv(spark, str(p), encoding="windows-1252")
+    assert [(r.text, r.label) for r in good.collect()] == [
+        ("café “quoted”", "1"), ("empty label", ""), ("", ""), ('a, "b"', "2"), ("three", "3")]
+    assert [r.raw for r in short.collect()] == ["short", '"one, field"']
+    assert FS.read_positional_csv(spark, str(p), "windows-1252").count() == 5
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == "false"
+
+
+def test_positional_csv_round_trip(spark, tmp_path):
+    texts = ["plain", "", ' "quoted, comma" ', "two\nlines", "naïve – dash…", FS.WINDOWS_1252]
+    df = spark.createDataFrame([(t, k) for k, t in enumerate(texts)], "text string, label int").coalesce(1)
+    for encoding in ("UTF-8", "windows-1252"):
+        FS.write_positional_csv(df, str(tmp_path / encoding), encoding)
+        back = FS.read_positional_csv(spark, str(tmp_path / encoding), encoding).collect()
+        assert sorted((int(r.label), r.text) for r in back) == list(enumerate(texts))
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_lines_of_many_splits_are_numbered_in_order(spark, tmp_path, small_splits):
+    lines = [f"line {k} " + "x" * (k % 37) + "\r" * (k % 2) for k in range(400)] + ["", ""]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "part-1.txt").write_bytes("\n".join(lines[250:]).encode() + b"\n")
+    (tmp_path / "in" / "part-0.txt").write_bytes("\n".join(lines[:250]).encode() + b"\n")
+    numbered = FS.numbered_lines(spark, str(tmp_path / "in"))
+    assert numbered.rdd.getNumPartitions() > 20
+    assert [r.value for r in numbered.orderBy("line_no").collect()] == lines
+    assert sorted(r.line_no for r in numbered.collect()) == list(range(402))
+
+
+def test_files_are_aligned_by_line_and_the_rest_is_reported(spark, tmp_path, small_splits):
+    (tmp_path / "data.txt").write_text("".join(f"text {k}\n" for k in range(120)))
+    (tmp_path / "tags.txt").write_text("".join(f"TAG{k} and more of it\n" for k in range(117)))
+    sides = [FS.numbered_lines(spark, str(tmp_path / f"{x}.txt")) for x in ("data", "tags")]
+    met, alone = FS.align_lines(*sides)
+    assert sorted((r.line_no, r.text, r.tags) for r in met.collect()) == [(k, f"text {k}", f"TAG{k} and more of it") for k in range(117)]
+    assert sorted((r.line_no, r.side, r.value) for r in alone.collect()) == [(k, "data", f"text {k}") for k in range(117, 120)]
+    met, alone = FS.align_lines(*sides[::-1])
+    assert {r.side for r in alone.collect()} == {"tags"}
+
+
+def test_empty_files(spark, tmp_path):
+    (tmp_path / "none.txt").write_text("")
+    numbered = FS.numbered_lines(spark, str(tmp_path / "none.txt"))
+    assert numbered.collect() == [] and FS.align_lines(numbered, numbered)[0].collect() == []
+
+
+def test_sts_rejects(spark, tmp_path):
+    (tmp_path / "sts.tsv").write_text("a\tb\tc\td\t3.5\tone\ttwo\textra\nshort\tline\na\tb\tc\td\tno number\tone\ttwo\n")
+    good, bad = FS.sts_rows(spark, str(tmp_path / "sts.tsv"))
+    assert [(r.score, r.s1, r.s2) for r in good.collect()] == [(3.5, "one", "two")] and bad.count() == 2
+
+
+def test_length_shards_round_trip(spark, tmp_path):
+    rows = [(k % 4 + 1, f"s{k}", "A B", f"(S {k})") for k in range(20)]
+    FS.write_length_shards(spark.createDataFrame(rows, "len_bucket int, sent string, pos string, parse string").repartition(3), str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == [f"{k}_candidates.txt" for k in range(1, 5)]
+    assert sorted(tuple(r) for r in FS.read_length_shards(spark, str(tmp_path)).collect()) == sorted(rows)
+
+
+def test_generated_text_keeps_its_order(spark, tmp_path):
+    rows = [(k, f"text\t{k}" if k % 3 else None, k % 2) for k in range(50)]
+    df = spark.createDataFrame(rows, "id int, text string, label int").repartition(4)
+    FS.write_generated_tsv(df, str(tmp_path / "gen"), ["id"])
+    back = FS.read_generated_tsv(spark, str(tmp_path / "gen")).orderBy("line_no").collect()
+    assert [tuple(r) for r in back] == [(k, f"text {k}" if k % 3 else "", str(k % 2)) for k in range(50)]
+
+
+def test_materialised_tables_follow_their_inputs(spark, tmp_path):
+    source, made = tmp_path / "in.txt", []
+
+    def build():
+        made.append(1)
+        return spark.read.text(str(source))
+
+    def table(**params):
+        return sorted(r.value for r in FS.materialize(spark, build, str(tmp_path / "kept"), (str(source),), **params).collect())
+
+    source.write_text("one\n")
+    assert table(n=1) == ["one"] and table(n=1) == ["one"] and len(made) == 1
+    assert table(n=2) == ["one"] and len(made) == 2
+    source.write_text("one\ntwo\n")
+    assert table(n=1) == ["one", "two"] and len(made) == 3
+
+
+def test_two_writers_leave_one_table(spark, tmp_path):
+    """The second writer finds the key taken when it is done: it drops its copy and reads the first one's."""
+    def slow():
+        FS.materialize(spark, lambda: spark.createDataFrame([(1,)], "x int"), str(tmp_path / "kept"), n=1)
+        return spark.createDataFrame([(2,)], "x int")
+
+    assert [r.x for r in FS.materialize(spark, slow, str(tmp_path / "kept"), n=1).collect()] == [1]
+    assert len([p for p in (tmp_path / "kept").iterdir() if not p.name.startswith(".")]) == 1

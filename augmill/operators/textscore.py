@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from augmill.functions.stem import stemmed
+
 
 def ngrams(w: Column, n: int) -> Column:
     return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)),
@@ -74,8 +76,14 @@ def corpus_bleu(pairs: DataFrame) -> DataFrame:
                     *[F.round(F.col(f"p{k}"), 6).alias(f"p{k}") for k in range(1, 5)])
 
 
-def rouge_n(pairs: DataFrame, limit: int | None = None) -> DataFrame:
-    """Per pair ROUGE-1/2 F (alpha .5) over whole texts, or the first ``limit`` words."""
+def _stems(pairs: DataFrame, stem: bool | DataFrame) -> DataFrame:
+    return stemmed(pairs, ["h", "r"], "sid", None if stem is True else stem) if stem is not False else pairs
+
+
+def rouge_n(pairs: DataFrame, limit: int | None = None, stem: bool | DataFrame = False) -> DataFrame:
+    """Per pair ROUGE-1/2 F (alpha .5) over whole texts, or the first ``limit`` words. ``stem``: over
+    stems, the published ones (True) or those of a table (word, stem)."""
+    pairs = _stems(pairs, stem)
     o = overlap_by_n(pairs, 2, limit)
     p = F.when(F.col("h_total") > 0, F.col("match") / F.col("h_total"))
     r = F.when(F.col("r_total") > 0, F.col("match") / F.col("r_total"))
@@ -106,8 +114,9 @@ def lcs_length(df: DataFrame, h: str, r: str, out: str = "lcs") -> DataFrame:
     return df.withColumn(out, _lcs(h, r))
 
 
-def rouge_l(pairs: DataFrame, limit: int | None = None) -> DataFrame:
-    """Per pair LCS F1 over whole texts, or the first ``limit`` words."""
+def rouge_l(pairs: DataFrame, limit: int | None = None, stem: bool | DataFrame = False) -> DataFrame:
+    """Per pair LCS F1 over whole texts, or the first ``limit`` words; ``stem`` as in :func:`rouge_n`."""
+    pairs = _stems(pairs, stem)
     d = pairs.select("sid", *[(F.slice(c, 1, limit) if limit else F.col(c)).alias(f"{c}4") for c in ("h", "r")])
     d = lcs_length(d, "h4", "r4").select("sid", "lcs", F.size("h4").alias("nh"), F.size("r4").alias("nr"))
     p = F.col("lcs") / F.col("nh")

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from augmill.functions import text as T
+from augmill.functions.stem import duck_stems
 from augmill.operators import corpus as C
 from augmill.operators import eda as E
 from augmill.operators import textscore as G
@@ -104,6 +105,22 @@ def q_rouge_n(spark, sf_dir):
     return r.select("sid", F.round("rouge1", 6).alias("rouge1"), F.round("rouge2", 6).alias("rouge2"))
 
 
+_STEMMED = f"""stems AS {duck_stems("(SELECT DISTINCT unnest(list_concat(h, r)) AS word FROM pairs0)")},
+  side AS (SELECT sid, 0 AS s, generate_subscripts(h, 1) AS pos, unnest(h) AS word FROM pairs0
+      UNION ALL SELECT sid, 1 AS s, generate_subscripts(r, 1) AS pos, unnest(r) AS word FROM pairs0),
+  told AS (SELECT sid, coalesce(list(stem ORDER BY pos) FILTER (s = 0), []) AS h, coalesce(list(stem ORDER BY pos) FILTER (s = 1), []) AS r
+      FROM side JOIN stems USING (word) GROUP BY sid),
+  pairs AS (SELECT p.sid, coalesce(t.h, []) AS h, coalesce(t.r, []) AS r FROM pairs0 p LEFT JOIN told t USING (sid))"""
+
+
+@register("rouge_stemmed", f"""WITH {DUCK_BASE.replace('  pairs AS', '  pairs0 AS')}, {_STEMMED}, {_ROUGE_N}
+  SELECT sid, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2 FROM rn""")
+def q_rouge_stemmed(spark, sf_dir):
+    """G3 over stems."""
+    r = G.rouge_n(_pairs(spark, sf_dir), stem=True)
+    return r.select("sid", F.round("rouge1", 6).alias("rouge1"), F.round("rouge2", 6).alias("rouge2"))
+
+
 # bit-parallel LCS with the state in limbs of 60 bits: [carry, limbs so far] runs over (state, mask, full) of each limb
 _LCS = """rl0 AS (SELECT sid, h, r, list_transform(range(0, (len(r) + 59) // 60),
       lambda i: (1::BIGINT << least(60, len(r) - 60 * i)) - 1) AS full_ FROM pairs),

@@ -59,9 +59,12 @@ def class_report(conf: DataFrame) -> DataFrame:
 
 
 def average_loss(scored: DataFrame, batch_size: int = 16, seed: int = 93) -> DataFrame:
-    """M6: mean of -ln p[label]; ``batch_mean_loss`` reproduces the reference's
+    """M6: mean of -ln p[label], p from ``p1`` (two classes) or a map ``probs``; ``batch_mean_loss`` reproduces the reference's
     sum of batch means divided by the number of samples."""
-    p = F.when(F.col("label") == 1, F.col("p1")).otherwise(1 - F.col("p1"))
+    if "probs" in scored.columns:  # label -> probability, for any number of classes; a label that it lacks has none
+        p = F.coalesce(F.try_element_at("probs", F.col("label")), F.lit(0.0))
+    else:
+        p = F.when(F.col("label") == 1, F.col("p1")).otherwise(1 - F.col("p1"))
     s = scored.withColumn("loss", -F.log(F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7))))
     idx = global_index(s, [], D.sort_key("loss_batch", seed, F.col("src_id")), "src_id", size_out=None)
     b = idx.groupBy(F.floor(F.col("idx") / batch_size).alias("batch")).agg(F.avg("loss").alias("bm"),
@@ -108,15 +111,19 @@ def best_checkpoint(series: DataFrame) -> DataFrame:
 
 
 def fit_classifier(train: DataFrame, num_features: int = 1 << 18, max_iter: int = 20):
-    """M1 (re-aimed): Tokenizer -> HashingTF -> IDF -> LogisticRegression."""
+    """M1 (re-aimed): Tokenizer -> HashingTF -> IDF -> LogisticRegression. Labels are of any type
+    and number; the fitted model adds ``pred``, the predicted label as a string."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+    from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer, StringIndexer
 
+    train = train.where(F.col("label").isNotNull()).withColumn("label_s", F.col("label").cast("string"))
+    names = StringIndexer(inputCol="label_s", outputCol="label_d", stringOrderType="alphabetAsc").fit(train)
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="tok", pattern="[^a-z]+", toLowercase=True),
         HashingTF(inputCol="tok", outputCol="tf", numFeatures=num_features),
         IDF(inputCol="tf", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="label_d", maxIter=max_iter),
+        IndexToString(inputCol="prediction", outputCol="pred", labels=names.labels),
     ])
-    return pipe.fit(train.withColumn("label_d", F.col("label").cast("double")))
+    return pipe.fit(names.transform(train))

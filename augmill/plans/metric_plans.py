@@ -134,7 +134,7 @@ def q_classifier_report(spark, sf_dir):
     """M1 + M5: fit on the 90 % train side of the labelled split, report on the rest."""
     lab = SP.split_two_way(TB.labelled(spark, sf_dir))
     model = M.fit_classifier(lab.where("split = 'train'"))
-    pred = model.transform(lab.where("split = 'val'")).withColumn("pred", F.col("prediction").cast("int"))
+    pred = model.transform(lab.where("split = 'val'")).withColumn("label", F.col("label").cast("string"))
     return M.class_report(M.confusion(pred))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,4 +28,5 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u < v").unionByName(
             least.select("v", F.col("m").alias("u")))
-        edges = stored(small.distinct(), "links")
+        before, edges = edges, stored(small.distinct(), "links")
+        discard(before)

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from augmill.sources.tables import load, spread
 
-from .common import SpanHash, byte_values, chunks, mix, runs, stored, text_buffer
+from .common import SpanHash, byte_values, chunks, discard, mix, runs, stored, text_buffer
 from .components import components
 from .registry import register
 
@@ -314,7 +314,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     # an n-gram of one group names no other
     named = shared.select("id", "g").join(member.select("id", *group), "id").select("g", *group).distinct()
     several = named.groupBy("g").agg(F.count("*").alias("groups")).where("groups > 1").select("g")
-    shared = stored(shared.join(several, "g"), "leads")
+    every, shared = shared, stored(shared.join(several, "g"), "leads")
+    discard(every)
     asked = None
     for step in ("largest", "pieces", "all"):
         now = member.join(components(links), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
@@ -345,7 +346,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
         both = members.select(*by, "id", "comp", "grams", F.lit(False).alias("asks")).unionByName(
             asking.select(*by, "id", "comp", "grams", F.lit(True).alias("asks")))
         found = both.groupBy(*by).applyInPandas(_asked(percent), "a bigint, b bigint")
-        links = stored(links.unionByName(found), "links")
+        before, links = links, stored(links.unionByName(found), "links")
+        discard(before)
+        discard(now)
 
     comp = components(links)
     classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id")).join(comp, "id", "left").select(

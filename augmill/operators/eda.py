@@ -26,6 +26,12 @@ from augmill.operators.common import barrier, fan_out
 TECHS = ["sr", "ri", "rs", "rd"]
 
 
+def cleaned(df: DataFrame) -> DataFrame:
+    """(src_id, text, label) -> + ctext, words, n."""
+    rows = df.select("src_id", "text", "label").withColumn("ctext", T.clean_letters(F.col("text")))
+    return rows.withColumn("words", T.split_nonempty(F.col("ctext"))).withColumn("n", F.size("words").cast("bigint"))
+
+
 def prepare(df: DataFrame, syn: DataFrame) -> DataFrame:
     """(src_id, text, label) -> + ctext, words, n, syn_at.
 
@@ -34,8 +40,7 @@ def prepare(df: DataFrame, syn: DataFrame) -> DataFrame:
     table and one ordered re-collect per row, so the techniques read synonyms
     by position in O(1) instead of scanning a per-row map (Spark map lookups
     are linear scans)."""
-    rows = df.select("src_id", "text", "label").withColumn("ctext", T.clean_letters(F.col("text")))
-    rows = rows.withColumn("words", T.split_nonempty(F.col("ctext"))).withColumn("n", F.size("words").cast("bigint"))
+    rows = cleaned(df)
     toks = rows.select("src_id", F.posexplode("words").alias("pos", "word"))
     aligned = (
         toks.join(syn.select("word", "syns"), "word", "left")
@@ -125,10 +130,11 @@ def random_deletion(df: DataFrame, p: float, seed: int, out: str = "new_words",
 TECH_FN = {"sr": synonym_replacement, "ri": random_insertion, "rs": random_swap, "rd": random_deletion}
 
 
-def single_technique(df: DataFrame, syn: DataFrame, tech: str, naug: int = 2, alpha: float = 0.1,
+def single_technique(df: DataFrame, syn: DataFrame | None, tech: str, naug: int = 2, alpha: float = 0.1,
                      seed: int = 1) -> DataFrame:
-    """A1-A4 alone: ``naug`` copies of every row with at least one word."""
-    base = prepare(df, syn).where(F.col("n") > 0)
+    """A1-A4 alone: ``naug`` copies of every row with at least one word. Swap and deletion ("rs", "rd")
+    take no synonyms and stay row-local, so they run on streams too."""
+    base = (prepare(df, syn) if tech in ("sr", "ri") else cleaned(df)).where(F.col("n") > 0)
     c = fan_out(base, naug).withColumnRenamed("copy_no", "cand")
     c = TECH_FN[tech](c, alpha, seed)
     return c.select("src_id", F.lit(f"eda_{tech}").alias("technique"), F.col("cand").alias("copy_no"),

@@ -6,14 +6,17 @@ merge crosses a chunk's edge, and a text's ids are its chunks' ids in order.
 
 1. One pass over the texts cuts them into chunks. Consecutive rows of about
    ``BLOCK_CHUNKS`` chunks form a block; a row becomes the numbers of its chunks in the
-   block's own list of distinct chunks. Rows and lists are written once, so a block is the
-   same for every later task; the texts themselves don't move any more.
-2. The distinct chunks of all blocks are segmented once each: the chunk table.
-3. The blocks' lists join the table; a block's ids meet its rows, ordered behind them in
-   one partition, and every row reads its ids by position.
-
-A task holds one block's list and ids, whatever the size of the corpus; a chunk that stands
-in every block is one row of each block's list, and equal texts, ids or sources don't gather.
+   block's own list of distinct chunks. Rows and lists are written once, packed, so a block
+   is the same for every later task; the texts themselves don't move any more.
+2. The lists are dealt out by the chunks' hashes. Each share of the chunk table holds its
+   distinct chunks, about ``TABLE_CHUNKS`` listed ones, segments each once, and answers every
+   block in its order.
+3. A block's ids meet its rows and every row reads its ids by position. The rows are a table
+   bucketed by block, so only the ids are shuffled.
+
+A task holds one block's list and ids or one share of the table, whatever the size of the
+corpus; a chunk that stands in every block is one entry of each block's list, and equal
+texts, ids or sources don't gather.
 
 Edge cases: a null text is empty and gives no ids; repeated rows and null ids each give
 their row; an empty table gives an empty table; marker characters in a text are spaces, as
@@ -26,21 +29,26 @@ import codecs
 import heapq
 import os
 import re
+import uuid
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augmill.sources.tables import load, spread
 
-from .common import shared_path
+from .common import SpanHash, byte_values, shared_path
 from .registry import register
 
 #: Chunks of the rows of a block; a longer text is a block of its own.
-BLOCK_CHUNKS = 1_000_000
+BLOCK_CHUNKS = 2_000_000
+#: Listed chunks that a share of the table answers.
+TABLE_CHUNKS = 200_000
 
 #: Fixed values of the format: the white-space marker, and what an unknown id decodes to.
 MARK, UNKNOWN = "▁", " ⁇ "
@@ -224,24 +232,36 @@ def _lists(values: np.ndarray, sizes) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int32()))
 
 
+def _pack(values) -> bytes:
+    """32-bit integers, all their lowest bytes first, compressed."""
+    return zstandard.compress(np.ascontiguousarray(np.asarray(values, np.int32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
+def _pack_texts(texts: list[bytes]) -> bytes:
+    return zstandard.compress(b"".join(texts), 1)
+
+
 def _blocks(size: int):
-    """Rows (block, 1, id, chunk numbers, -) and, in front of them, the block's list (block, 0, -, number, chunk)."""
+    """Rows (block, n, id array, chunks per row, chunk numbers, -) of some texts each and, behind them, the
+    block's list (block, n, null, length of each chunk, -, chunks)."""
 
     def work(batches):
         task, made = TaskContext.get().partitionId(), 0
-        numbers, held, kept = Numbers(), 0, []
-
-        def flush():
-            block = pa.array([task << 32 | made] * len(numbers), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [block, pa.nulls(len(numbers), kept[0][0].type), _lists(np.arange(len(numbers)), np.ones(len(numbers), np.int64)),
-                 pa.array(list(numbers), pa.string())], names=["block", "id", "places", "chunk"])
-            for ids, flat, sizes in kept:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([task << 32 | made] * len(ids), pa.int64()), ids, _lists(flat, sizes), pa.nulls(len(ids), pa.string())],
-                    names=["block", "id", "places", "chunk"])
+        numbers, held = Numbers(), 0
+
+        def listed():
+            raw = [c.encode() for c in numbers]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([task << 32 | made], pa.int64()), pa.array([len(raw)], pa.int64()), pa.nulls(1, pa.list_(kind)),
+                 pa.array([_pack([len(c) for c in raw])], pa.binary()), pa.nulls(1, pa.binary()), pa.array([_pack_texts(raw)], pa.binary())],
+                names=["block", "n", "ids", "sizes", "places", "chunks"])
 
         for batch in batches:
+            kind = batch.column(0).type
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
                 flat, sizes = [], []
@@ -249,96 +269,133 @@ def _blocks(size: int):
                     chunks = cut(text or "")
                     flat += map(numbers.__getitem__, chunks)
                     sizes.append(len(chunks))
-                kept.append((part.column(0), np.array(flat, np.int32), sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([task << 32 | made], pa.int64()), pa.array([len(flat)], pa.int64()),
+                     pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(0)),
+                     pa.array([_pack(sizes)], pa.binary()), pa.array([_pack(flat)], pa.binary()), pa.nulls(1, pa.binary())],
+                    names=["block", "n", "ids", "sizes", "places", "chunks"])
                 held += len(flat)
                 if held >= size:
-                    yield from flush()
-                    numbers, held, kept, made = Numbers(), 0, [], made + 1
-        if kept:
-            yield from flush()
+                    yield listed()
+                    numbers, held, made = Numbers(), 0, made + 1
+        if held or numbers:
+            yield listed()
 
     return work
 
 
-def _segmented(path: str):
+def _listed(sizes: bytes, chunks: bytes, shares: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's list: the chunks' bytes, where each begins and ends, and the share of the table that holds it."""
+    ends = np.cumsum(_unpack(sizes), dtype=np.int64)
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    raw = zstandard.decompress(chunks)
+    return raw, begins, ends, SpanHash(np.frombuffer(raw, np.uint8), byte_values(13))(begins, ends) % np.uint64(shares)
+
+
+def _dealt(shares: int):
+    """Lists (block, sizes, chunks) -> their part in each share of the table (share, block, sizes, chunks)."""
+
     def work(batches):
-        model = _loaded(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.column(0).slice(lo, 4096)
-                ids = [model.segment(MARK + c.replace(" ", MARK)) for c in part.to_pylist()]
-                flat = np.array([i for x in ids for i in x], np.int32)
-                yield pa.RecordBatch.from_arrays([part, _lists(flat, [len(x) for x in ids])], names=["chunk", "ids"])
+            for block, sizes, chunks in zip(*(c.to_pylist() for c in batch.columns)):
+                raw, begins, ends, share = _listed(sizes, chunks, shares)
+                order = np.argsort(share, kind="stable")
+                for places in np.split(order, np.flatnonzero(np.diff(share[order])) + 1) if len(order) else ():
+                    own = [raw[a:z] for a, z in zip(begins[places].tolist(), ends[places].tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([int(share[places[0]])], pa.int64()), pa.array([block], pa.int64()),
+                         pa.array([_pack([len(c) for c in own])], pa.binary()), pa.array([_pack_texts(own)], pa.binary())],
+                        names=["share", "block", "sizes", "chunks"])
 
     return work
 
 
-def _met(id_col: str):
-    """Rows of a partition in the order (block, list before rows) -> (id, token_ids)."""
+class Table(dict):
+    """A share of the chunk table: chunk -> ids, each chunk segmented when it is first asked for."""
 
-    def work(batches):
-        block, sizes, parts = None, [], []
-        start = flat = None
-        for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            listed = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            lens = batch.column(3).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            values = batch.column(3).flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(lens)
-            edges = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(listed) != 0)) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(blocks)]):
-                if lo == hi:
-                    continue
-                at, to = ends[lo] - lens[lo], ends[hi - 1]
-                if blocks[lo] != block:
-                    block, sizes, parts, start = blocks[lo], [], [], None
-                if listed[lo]:
-                    sizes.append(lens[lo:hi])
-                    parts.append(values[at:to].astype(np.int32))
-                    continue
-                if start is None:  # the list is complete: where each chunk's ids begin
-                    count = np.concatenate(sizes) if sizes else np.empty(0, np.int64)
-                    start = np.concatenate([[0], np.cumsum(count)])
-                    flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
-                step = lo
-                while step < hi:  # some rows at a time: a chunk may have many ids
-                    stop = max(step + 1, min(hi, int(np.searchsorted(ends, ends[step] - lens[step] + BLOCK_CHUNKS))))
-                    places = values[ends[step] - lens[step] : ends[stop - 1]].astype(np.int64)
-                    n = start[places + 1] - start[places]
-                    ids = flat[np.repeat(start[places] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                    row = np.repeat(np.arange(stop - step), lens[step:stop])
-                    per_row = np.bincount(row, weights=n, minlength=stop - step).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([batch.column(2).slice(step, stop - step), _lists(ids, per_row)],
-                                                     names=[id_col, "token_ids"])
-                    step = stop
+    def __init__(self, model: Pieces):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, chunk: bytes) -> array:
+        ids = self[chunk] = array("i", self.model.segment(MARK + chunk.decode().replace(" ", MARK)))
+        return ids
+
+
+def _answered(path: str):
+    """A share of the table: what each block asks -> (block, share, ids per chunk, ids), in the order asked."""
+
+    def work(part: pa.Table) -> pa.Table:
+        table, rows = Table(_loaded(path)), []
+        for share, block, sizes, chunks in zip(*(c.to_pylist() for c in part.columns)):
+            ends = np.cumsum(_unpack(sizes), dtype=np.int64).tolist()
+            raw = zstandard.decompress(chunks)
+            ids = [table[raw[a:z]] for a, z in zip([0, *ends], ends)]
+            rows.append((block, share, _pack([len(x) for x in ids]), _pack(np.frombuffer(b"".join(ids), np.int32))))
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["block", "share", "sizes", "value"])
+
+    return work
+
+
+def _met(id_col: str, shares: int, path: str | None):
+    """A block's rows and list, and its ids from all shares -> (id, token_ids), and the text that the ids stand
+    for if a model is named."""
+
+    names = [id_col, "token_ids", "decoded"][: 3 if path else 2]
+
+    def work(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        lists = rows.filter(rows.column("chunks").is_valid())
+        rows = rows.filter(rows.column("chunks").is_null())
+        # where the ids of each chunk begin, and how many they are
+        flat, start, size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        if lists.num_rows:
+            *_, share = _listed(lists.column("sizes")[0].as_py(), lists.column("chunks")[0].as_py(), shares)
+            named = np.argsort(share, kind="stable")  # the order in which the shares, one after the other, answer
+            answers = answers.sort_by("share")
+            count, flat = (np.concatenate([_unpack(x) for x in answers.column(c).to_pylist()]) for c in ("sizes", "value"))
+            start, size = np.zeros(len(named), np.int64), np.zeros(len(named), np.int64)
+            start[named], size[named] = np.cumsum(count, dtype=np.int64) - count, count
+        out = []
+        for ids, places, sizes in zip(rows.column("ids"), rows.column("places").to_pylist(), rows.column("sizes").to_pylist()):
+            chosen, per_row = _unpack(places), _unpack(sizes)
+            n = size[chosen]
+            stop = np.cumsum(n)
+            found = flat[np.repeat(start[chosen] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+            counts = np.bincount(np.repeat(np.arange(len(per_row)), per_row), weights=n, minlength=len(per_row)).astype(np.int64)
+            cols = [ids.values, _lists(found, counts)]
+            if path:
+                cols.append(_loaded(path).decode(found, np.cumsum(counts)))
+            out.append(pa.RecordBatch.from_arrays(cols, names=names))
+        kinds = [rows.schema.field("ids").type.value_type, pa.list_(pa.int32()), pa.string()]
+        return pa.Table.from_batches(out, pa.schema(list(zip(names, kinds))))
 
     return work
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-           block: int = BLOCK_CHUNKS) -> DataFrame:
-    """(id, token_ids array<int>) of every row. ``path``: a model file that every executor has.
-    The call itself writes the blocks and the chunk table to the shared folder."""
-    spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
+           block: int = BLOCK_CHUNKS, table: int = TABLE_CHUNKS, decoded: bool = False) -> DataFrame:
+    """(id, token_ids array<int>) of every row, with ``decoded``, what :func:`decode` makes of the ids,
+    if asked for. ``path``: a model file that every executor has. The call itself writes the
+    blocks to the shared folder."""
+    kind = df.schema[id_col].dataType.simpleString()
     if not os.path.exists(path):
         raise FileNotFoundError(path)
     _loaded(path)  # a model that doesn't fit is refused here, not in a task
-    where = shared_path(spark, "pieces")
-    schema = f"block bigint, id {kind}, places array<int>, chunk string"
+    spark, name = df.sparkSession, f"augmill_blocks_{uuid.uuid4().hex}"
+    schema = f"block bigint, n bigint, ids array<{kind}>, sizes binary, places binary, chunks binary"
     cut_up = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_blocks(block), schema)
-    cut_up.write.option("compression", "zstd").parquet(f"{where}/blocks")
-    blocks = spark.read.schema(schema).parquet(f"{where}/blocks")
-
-    listed = blocks.where("chunk IS NOT NULL").select("block", F.col("places")[0].alias("place"), "chunk")
-    listed.select("chunk").distinct().mapInArrow(_segmented(path), "chunk string, ids array<int>").write.parquet(f"{where}/table")
-    table = spark.read.schema("chunk string, ids array<int>").parquet(f"{where}/table")
-
-    lists = listed.join(table, "chunk").select("block", F.lit(True).alias("listed"), F.lit(None).cast(kind).alias("id"),
-                                               "place", F.col("ids").alias("value"))
-    rows = blocks.where("chunk IS NULL").select("block", F.lit(False).alias("listed"), "id",
-                                                F.lit(0).alias("place"), F.col("places").alias("value"))
-    met = lists.unionByName(rows).repartition("block").sortWithinPartitions("block", F.desc("listed"), "place")
-    return met.select("block", "listed", "id", "value").mapInArrow(_met(id_col), f"`{id_col}` {kind}, token_ids array<int>")
+    # bucketed by block, so that the rows needn't move again when their ids come
+    cut_up.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", shared_path(spark, "blocks")).saveAsTable(name)
+    blocks = spark.table(name)
+    lists = blocks.where("chunks IS NOT NULL")
+    shares = max(1, -(-(lists.agg(F.sum("n")).first()[0] or 0) // table))
+    asked = lists.select("block", "sizes", "chunks").mapInArrow(
+        _dealt(shares), "share bigint, block bigint, sizes binary, chunks binary")
+    answers = asked.groupBy("share").applyInArrow(_answered(path), "block bigint, share bigint, sizes binary, value binary")
+    rows = blocks.select("block", "ids", "sizes", "places", "chunks")
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        _met(id_col, shares, path if decoded else None), f"`{id_col}` {kind}, token_ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -364,7 +421,7 @@ def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     path = P.path("piece_bpe_32k.model")
-    coded = decode(encode(spread(load(spark, sf_dir, "documents"), "doc_id"), path), path)
+    coded = encode(spread(load(spark, sf_dir, "documents"), "doc_id"), path, decoded=True)
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

@@ -42,14 +42,16 @@ def test_any_ids_decode_as_in_the_library(library):
         assert model.decode(flat, np.cumsum([len(x) for x in lists])).to_pylist() == [library.decode(x) for x in lists]
 
 
-@pytest.mark.parametrize("block", [pieces.BLOCK_CHUNKS, 400])
-def test_rows_of_all_kinds(spark, docs, odd_rows, library, block):
+@pytest.mark.parametrize("block,table", [(pieces.BLOCK_CHUNKS, pieces.TABLE_CHUNKS), (400, 300)])
+def test_rows_of_all_kinds(spark, docs, odd_rows, library, block, table):
     rows = [*odd_rows, *((100 + k, t) for k, t in enumerate(made_texts()[-200:]))]
     frame = docs(rows).repartition(3)
-    got = pieces.decode(pieces.encode(frame, PATH, block=block), PATH).collect()
+    got = pieces.decode(pieces.encode(frame, PATH, block=block, table=table), PATH).collect()
     want = sorted((str(i), library.encode(t or "")) for i, t in rows)
     assert sorted((str(r.doc_id), r.token_ids) for r in got) == want
     assert all(r.decoded == library.decode(r.token_ids) for r in got)
+    both = pieces.encode(frame, PATH, block=block, table=table, decoded=True)
+    assert sorted((str(r.doc_id), r.token_ids, r.decoded) for r in both.collect()) == sorted((str(r.doc_id), r.token_ids, r.decoded) for r in got)
 
 
 def test_empty_table(spark, docs):

@@ -10,10 +10,12 @@ window:
 
 1. bucket = the key's leading hex digits; the (group, bucket) count table has
    at most 16^digits rows per group and gives each bucket its offset;
-2. inside a bucket, rows are cut into runs (key, id div ``id_range``); the
-   run count table gives each run its offset within the bucket, so a hot key
-   is split into many runs;
-3. ``row_number`` inside a run (at most ``id_range`` ids).
+2. inside a bucket, rows are cut into runs (key, id div ``id_range``, or for ids
+   that are strings the first two hex digits of their md5); the run count table
+   gives each run its offset within the bucket, so a hot key is split into many runs;
+3. ``row_number`` inside a run (at most ``id_range`` ids, or a 256th of them).
+
+The order is that of (key, id) for numeric ids, of (key, md5 digits, id) for strings.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ def global_index(
     and optionally the group size. ``order_key`` must be a hex string."""
     keyed = df.withColumn("_okey", order_key).withColumn("_bkt", F.substring("_okey", 1, bucket_digits))
     numeric_id = dict(df.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
-    run = F.floor(F.col(id_col) / F.lit(id_range)) if numeric_id else F.lit(0)
+    run = (F.floor(F.col(id_col) / F.lit(id_range)) if numeric_id
+           else F.conv(F.substring(F.md5(F.col(id_col)), 1, 2), 16, 10))
     keyed = keyed.withColumn("_run", run.cast("bigint"))
     grp = [F.col(c) for c in group_cols]
 

@@ -38,7 +38,11 @@ def context_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return context_triples(docs, text_col).groupBy("lft", "rgt", "word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def lexicon_from_contexts(docs: DataFrame, draws: int = 8, top: int = 8, seed: int = 0, text_col: str = "text") -> DataFrame:
+#: Partners that a (context, word) draws, and lemmas of a lexicon entry.
+DRAWS, TOP = 8, 8
+
+
+def lexicon_from_contexts(docs: DataFrame, draws: int = DRAWS, top: int = TOP, seed: int = 0, text_col: str = "text") -> DataFrame:
     """L3: returns (word, lemma, rank) with rank 1..top."""
     context = ["lft", "rgt"]
     # a word that is alone in a context draws nothing there
@@ -90,7 +94,7 @@ def duck_context_counts(docs: str) -> str:
       FROM (SELECT {toks} AS w FROM {docs}) WHERE len(w) >= 3) GROUP BY ALL)"""
 
 
-def duck_lexicon(docs: str, draws: int = 8, top: int = 8, seed: int = 0) -> str:
+def duck_lexicon(docs: str, draws: int = DRAWS, top: int = TOP, seed: int = 0) -> str:
     draw = D.sql_draw("lexicon", seed, "lft", "rgt", "word", "k")
     return f"""(WITH run AS MATERIALIZED (SELECT * FROM {duck_running(duck_context_counts(docs), 'lft, rgt')} WHERE total > cnt),
   dr AS (SELECT lft, rgt, word, lo, cnt, {draw} % (total - cnt) AS r FROM run, range(0, {draws}) t(k)),

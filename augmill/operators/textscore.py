@@ -163,13 +163,14 @@ def chunk_tree(w: Column, size: int, top: str = "S", mid: str = "P", tag=None) -
     return F.concat(F.lit(f"({top} "), F.array_join(chunks, " "), F.lit(")"))
 
 
-def bracket_spans(trees: DataFrame, tree_col: str = "tree") -> DataFrame:
-    """(sid, label, start, end) for every node whose first child has
+def bracket_spans(trees: DataFrame, tree_col: str = "tree", keys: tuple = ("sid",)) -> DataFrame:
+    """(keys, label, start, end) for every node whose first child has
     children (preterminals are skipped); positions are leaf indexes.
-    The k-th '(' at depth d closes at the k-th ')' back to depth d."""
-    toks = trees.select("sid", F.posexplode(F.regexp_extract_all(F.col(tree_col), F.lit("\\(|\\)|[^()\\s]+"), 0))
-                        .alias("p", "tok"))
-    w = Window.partitionBy("sid").orderBy("p")
+    A '(' at depth d closes at the next ')' back to depth d. The trees are dealt out by
+    ``sid`` once; both windows, and what is later summed per pair, stay where they are."""
+    toks = trees.select(*keys, F.col(tree_col).alias("_tree")).repartition("sid").select(
+        *keys, F.posexplode(F.regexp_extract_all(F.col("_tree"), F.lit("\\(|\\)|[^()\\s]+"), 0)).alias("p", "tok"))
+    w = Window.partitionBy(*keys).orderBy("p")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     is_open = (F.col("tok") == "(").cast("int")
     is_close = (F.col("tok") == ")").cast("int")
@@ -178,27 +179,26 @@ def bracket_spans(trees: DataFrame, tree_col: str = "tree") -> DataFrame:
     t = t.withColumn("depth", F.coalesce(F.sum(is_open - is_close).over(before), F.lit(0)))
     leaf = ((F.col("tok") != "(") & (F.col("tok") != ")") & (F.coalesce(F.col("prev"), F.lit("")) != "(")).cast("int")
     t = t.withColumn("leaves", F.coalesce(F.sum(leaf).over(before), F.lit(0)).cast("bigint"))
-    opens = t.where("tok = '('").select("sid", "depth", F.col("next1").alias("label"),
-                                         (F.col("next2") == "(").alias("counted"), F.col("leaves").alias("start"),
-                                         F.row_number().over(Window.partitionBy("sid", "depth").orderBy("p")).alias("k"))
-    closes = t.where("tok = ')'").select("sid", (F.col("depth") - 1).alias("depth"), F.col("leaves").alias("end"),
-                                          F.row_number().over(Window.partitionBy("sid", F.col("depth")).orderBy("p"))
-                                          .alias("k"))
-    return opens.join(closes, ["sid", "depth", "k"]).where("counted").select("sid", "label", "start", "end")
+    level = Window.partitionBy(*keys, "level").orderBy("p")
+    t = t.where("tok IN ('(', ')')").withColumn("level", F.col("depth") - F.when(F.col("tok") == ")", 1).otherwise(0))
+    t = t.withColumn("end", F.lead("leaves").over(level)).withColumn("closed", F.lead("tok").over(level) == ")")
+    return t.where("tok = '(' AND closed AND next2 = '('").select(*keys, F.col("next1").alias("label"), F.col("leaves").alias("start"), "end")
 
 
-def bracket_counts(spans: DataFrame, out: str) -> DataFrame:
-    return spans.groupBy("sid", "label", "start", "end").agg(F.count(F.lit(1)).alias(out))
+def bracket_counts(trees: DataFrame, carry: tuple = ()) -> DataFrame:
+    """(sid, carry, label, start, end, gc, pc): the brackets of both trees, ``gold`` and ``pred``, of every pair, in one parse."""
+    sides = trees.select("sid", *carry, F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("gold").alias("tree")), F.struct(F.lit(1).alias("side"), F.col("pred").alias("tree")))).alias("x"))
+    spans = bracket_spans(sides.select("sid", *carry, "x.side", "x.tree"), keys=("sid", *carry, "side"))
+    return spans.groupBy("sid", *carry, "label", "start", "end").agg(
+        F.count(F.when(F.col("side") == 0, 1)).alias("gc"), F.count(F.when(F.col("side") == 1, 1)).alias("pc"))
 
 
-def bracket_f1(gold: DataFrame, pred: DataFrame, lengths: DataFrame) -> DataFrame:
-    """match = sum min(pred, gold) over (label, i, j); micro F1 per length
+def bracket_f1(trees: DataFrame) -> DataFrame:
+    """(sid, len_bucket, gold, pred) -> match = sum min(pred, gold) over (label, i, j); micro F1 per length
     bucket and in total (rollup)."""
-    g, p = bracket_counts(gold, "gc"), bracket_counts(pred, "pc")
-    j = g.join(p, ["sid", "label", "start", "end"], "full_outer")
-    per = j.groupBy("sid").agg(F.sum(F.least(F.coalesce("gc", F.lit(0)), F.coalesce("pc", F.lit(0)))).alias("match"),
-                               F.sum(F.coalesce("gc", F.lit(0))).alias("gold"), F.sum(F.coalesce("pc", F.lit(0))).alias("parse"))
-    per = per.join(lengths, "sid")
+    per = bracket_counts(trees, ("len_bucket",)).groupBy("sid", "len_bucket").agg(
+        F.sum(F.least("gc", "pc")).alias("match"), F.sum("gc").alias("gold"), F.sum("pc").alias("parse"))
     r = per.rollup("len_bucket").agg(F.sum("match").cast("bigint").alias("match"),
                                      F.sum("gold").cast("bigint").alias("gold"),
                                      F.sum("parse").cast("bigint").alias("parse"))
@@ -206,12 +206,9 @@ def bracket_f1(gold: DataFrame, pred: DataFrame, lengths: DataFrame) -> DataFram
     return r.withColumn("f1", F.round(f1, 6))
 
 
-def tree_distance(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """G12 (re-aimed): sum |pred - gold| over the bracket multisets per pair."""
-    g, p = bracket_counts(gold, "gc"), bracket_counts(pred, "pc")
-    j = g.join(p, ["sid", "label", "start", "end"], "full_outer")
-    return j.groupBy("sid").agg(F.sum(F.abs(F.coalesce("gc", F.lit(0)) - F.coalesce("pc", F.lit(0))))
-                                .cast("bigint").alias("distance"))
+def tree_distance(trees: DataFrame) -> DataFrame:
+    """G12 (re-aimed): (sid, gold, pred) -> sum |pred - gold| over the bracket multisets per pair."""
+    return bracket_counts(trees).groupBy("sid").agg(F.sum(F.abs(F.col("gc") - F.col("pc"))).cast("bigint").alias("distance"))
 
 
 def tag_accuracy(tagged: DataFrame) -> DataFrame:

@@ -9,13 +9,17 @@ under a stop-word tagger.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from augmill.functions import text as T
 from augmill.functions.stem import duck_stems
 from augmill.operators import corpus as C
 from augmill.operators import eda as E
+from augmill.operators import meteor as MT
 from augmill.operators import textscore as G
+from augmill.plans.lexicon_plans import corpus_lexicon
 from augmill.plans.registry import register
 from augmill.session import cut_lineage
 from augmill.sources import tables as TB
@@ -27,7 +31,7 @@ _STOP = T.duck_str_list(T.STOP_WORDS)
 
 def _refs(spark, sf_dir):
     s = TB.sentences(spark, sf_dir)
-    return s.select((F.col("src_id") * F.lit(1000000) + F.col("sent_no")).alias("sid"),
+    return s.select(TB.sentence_key().alias("sid"),
                     T.split_nonempty(T.clean_letters(F.col("text"))).alias("r"))
 
 
@@ -39,7 +43,7 @@ def _pairs(spark, sf_dir):
 
 
 _rd = dict(E.duck_tech("rd", 0.1, 1))
-DUCK_BASE = f"""refs AS (SELECT src_id * 1000000 + sent_no AS sid,
+DUCK_BASE = f"""refs AS (SELECT {TB.DUCK_SENTENCE_KEY} AS sid,
       list_filter(string_split({_CL}, ' '), lambda x: x <> '') AS r FROM {TB.DUCK_SENTENCES}),
   rd0 AS (SELECT sid AS src_id, 1::BIGINT AS cand, r AS words, len(r)::BIGINT AS n, r FROM refs WHERE len(r) > 0),
   rd1 AS (SELECT *, {_rd['_kept']} AS _kept FROM rd0),
@@ -78,16 +82,19 @@ def q_line_check(spark, sf_dir):
     return G.line_check(_pairs(spark, sf_dir), _refs(spark, sf_dir))
 
 
-@register("corpus_bleu", f"""WITH {DUCK_BASE}, {_duck_overlap(4)},
+_DUCK_BLEU = f"""{_duck_overlap(4)},
   o AS (SELECT n, sum(match) AS m, sum(h_total) AS t, sum(len(h)) AS c, sum(len(r)) AS rl
         FROM ov JOIN pairs USING (sid) GROUP BY n),
   s AS (SELECT min(CASE WHEN t > 0 THEN m / t ELSE 0.0 END) AS pmin,
         avg(ln(CASE WHEN m > 0 THEN m / t END)) AS logmean, max(c) AS c, max(rl) AS rl,
         max(CASE WHEN n = 1 THEN m / t END) AS p1, max(CASE WHEN n = 2 THEN m / t END) AS p2,
         max(CASE WHEN n = 3 THEN m / t END) AS p3, max(CASE WHEN n = 4 THEN m / t END) AS p4 FROM o),
-  s2 AS (SELECT *, CASE WHEN c > rl THEN 1.0 ELSE exp(1.0 - rl / c) END AS bp FROM s)
-  SELECT round(CASE WHEN pmin > 0 THEN bp * exp(logmean) * 100.0 ELSE 0.0 END, 6) AS bleu, round(bp, 6) AS bp,
-    round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3, round(p4, 6) AS p4 FROM s2""")
+  s2 AS (SELECT *, CASE WHEN c > rl THEN 1.0 ELSE exp(1.0 - rl / c) END AS bp FROM s),
+  bleu AS (SELECT *, CASE WHEN pmin > 0 THEN bp * exp(logmean) * 100.0 ELSE 0.0 END AS bleu FROM s2)"""
+
+
+@register("corpus_bleu", f"""WITH {DUCK_BASE}, {_DUCK_BLEU} SELECT round(bleu, 6) AS bleu, round(bp, 6) AS bp,
+    round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3, round(p4, 6) AS p4 FROM bleu""")
 def q_corpus_bleu(spark, sf_dir):
     return G.corpus_bleu(_pairs(spark, sf_dir))
 
@@ -158,17 +165,32 @@ def q_meteor(spark, sf_dir):
     return m.select("sid", "matches", "chunks", F.round("meteor", 6).alias("meteor"))
 
 
-@register("score_summary", f"""WITH {DUCK_BASE}, {_ROUGE_N}, {_LCS}, {_METEOR}
-  SELECT count(*)::BIGINT AS n_pairs, round(avg(rouge1) * 100, 6) AS rouge1, round(avg(rouge2) * 100, 6) AS rouge2,
-    round(avg(rougel) * 100, 6) AS rougel, round(avg(meteor) * 100, 6) AS meteor
-  FROM rn JOIN rl USING (sid) JOIN me USING (sid)""")
-def q_score_summary(spark, sf_dir):
-    # three metrics read the same pairs: materialise them once (shared checkpoint folder)
-    p = cut_lineage(_pairs(spark, sf_dir))
-    j = G.rouge_n(p).join(G.rouge_l(p), "sid").join(G.meteor_exact(p), "sid")
-    return j.agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("rouge1") * 100, 6).alias("rouge1"),
-                 F.round(F.avg("rouge2") * 100, 6).alias("rouge2"), F.round(F.avg("rougel") * 100, 6).alias("rougel"),
-                 F.round(F.avg("meteor") * 100, 6).alias("meteor"))
+def _turn_pairs(spark, sf_dir):
+    """(sid, h, r): cleaned words of the user's turn and of the answer."""
+    words = [T.split_nonempty(T.clean_letters(F.col(c))).alias(a) for c, a in (("s1", "h"), ("s2", "r"))]
+    return TB.pairs(spark, sf_dir).select(F.concat_ws(":", "conv_id", "turn").alias("sid"), *words)
+
+
+_TURN_PAIRS = f"""pairs0 AS (SELECT concat_ws(':', conv_id, turn) AS sid, {T.duck_split_nonempty(T.duck_clean_letters('s1'))} AS h,
+    {T.duck_split_nonempty(T.duck_clean_letters('s2'))} AS r FROM {TB.DUCK_PAIRS})"""
+
+
+@register("meteor_links", f"""WITH {_TURN_PAIRS}, {_STEMMED},
+  wc AS (SELECT sid, word, stem, count(*) FILTER (s = 0) AS nh, count(*) FILTER (s = 1) AS nr FROM side JOIN stems USING (word) GROUP BY ALL),
+  ex AS (SELECT sid, sum(least(nh, nr)) AS exact FROM wc GROUP BY sid),
+  st AS (SELECT sid, sum(least(nh, nr)) AS stem FROM (SELECT sid, stem, sum(nh - least(nh, nr)) AS nh, sum(nr - least(nh, nr)) AS nr
+      FROM wc GROUP BY ALL) GROUP BY sid)
+  SELECT p.sid, coalesce(ex.exact, 0)::BIGINT AS exact, coalesce(st.stem, 0)::BIGINT AS stem FROM pairs0 p LEFT JOIN ex USING (sid) LEFT JOIN st USING (sid)""")
+def q_meteor_links(spark, sf_dir):
+    """Links of the exact and the stem stage, whose numbers SQL can tell."""
+    return MT.meteor(_turn_pairs(spark, sf_dir)).select("sid", "exact", "stem")
+
+
+@register("meteor_stages")
+def q_meteor_stages(spark, sf_dir):
+    """G5 with all stages, the corpus' lexicon being the last; the alignments are tested against all others (tests/test_meteor.py)."""
+    m = MT.meteor(_turn_pairs(spark, sf_dir), corpus_lexicon(spark, sf_dir))
+    return m.withColumn("meteor", F.round("meteor", 6))
 
 
 # --- trees ----------------------------------------------------------------------
@@ -240,15 +262,13 @@ _DUCK_BC = f"""{_duck_spans('gold', 'gs')}, {_duck_spans('pred', 'ps')},
       FROM per JOIN trees t USING (sid) GROUP BY ROLLUP (t.len_bucket))
   SELECT *, round(CASE WHEN match > 0 THEN 2.0 * match / (gold + parse) ELSE 0.0 END, 6) AS f1 FROM r""")
 def q_bracket_f1(spark, sf_dir):
-    t = _trees(spark, sf_dir)
-    return G.bracket_f1(G.bracket_spans(t, "gold"), G.bracket_spans(t, "pred"), t.select("sid", "len_bucket"))
+    return G.bracket_f1(_trees(spark, sf_dir))
 
 
 @register("tree_distance", f"""WITH {DUCK_BASE}, {DUCK_TREES}, {_DUCK_BC}
   SELECT sid, sum(abs(gc - pc))::BIGINT AS distance FROM bj GROUP BY sid""")
 def q_tree_distance(spark, sf_dir):
-    t = _trees(spark, sf_dir)
-    return G.tree_distance(G.bracket_spans(t, "gold"), G.bracket_spans(t, "pred"))
+    return G.tree_distance(_trees(spark, sf_dir))
 
 
 @register("tag_accuracy", f"""WITH {DUCK_BASE}, {DUCK_TREES},
@@ -258,3 +278,27 @@ def q_tree_distance(spark, sf_dir):
 def q_tag_accuracy(spark, sf_dir):
     t = _trees(spark, sf_dir)
     return G.tag_accuracy(t.select("sid", "len_bucket", F.col("gold_tags").alias("gold"), F.col("pred_tags").alias("pred")))
+
+
+_SUMMARY_BLEU = _DUCK_BLEU
+for _name in ("hg", "rg", "mt", "ht", "rt", "ov"):  # beside the same tables of ROUGE's orders
+    _SUMMARY_BLEU = re.sub(rf"\b{_name}\b", f"bleu_{_name}", _SUMMARY_BLEU)
+
+
+@register("score_summary", f"""WITH {DUCK_BASE}, {_ROUGE_N}, {_LCS}, {_METEOR}, {_SUMMARY_BLEU}, {DUCK_TREES}, {_DUCK_BC},
+  td AS (SELECT sid, sum(abs(gc - pc)) AS distance FROM bj GROUP BY sid)
+  SELECT count(*)::BIGINT AS n_pairs, round(avg(rouge1) * 100, 6) AS rouge1, round(avg(rouge2) * 100, 6) AS rouge2,
+    round(avg(rougel) * 100, 6) AS rougel, round(avg(meteor) * 100, 6) AS meteor, (SELECT round(bleu, 6) FROM bleu) AS bleu,
+    (SELECT round(avg(distance), 6) FROM td) AS tree_distance
+  FROM rn JOIN rl USING (sid) JOIN me USING (sid)""")
+def q_score_summary(spark, sf_dir):
+    """One row of all scores; the corpus' BLEU and the trees' mean distance beside the means of the pairs."""
+    # four metrics read the same pairs: materialise them once (shared checkpoint folder)
+    p = cut_lineage(_pairs(spark, sf_dir))
+    j = G.rouge_n(p).join(G.rouge_l(p), "sid").join(G.meteor_exact(p), "sid")
+    means = j.agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("rouge1") * 100, 6).alias("rouge1"),
+                  F.round(F.avg("rouge2") * 100, 6).alias("rouge2"), F.round(F.avg("rougel") * 100, 6).alias("rougel"),
+                  F.round(F.avg("meteor") * 100, 6).alias("meteor"))
+    distance = G.tree_distance(_trees(spark, sf_dir)).agg(F.round(F.avg("distance"), 6).alias("tree_distance"))
+    rows = means.unionByName(G.corpus_bleu(p).select("bleu"), True).unionByName(distance, True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])

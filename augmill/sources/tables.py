@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augmill.functions import text as T
@@ -66,10 +66,14 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sentence_key() -> Column:
+    """A sentence's key, the id of its text and its line: unique for texts of any length and ids of any size."""
+    return F.concat_ws(":", "src_id", "sent_no")
+
+
 def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences as augmentation rows: src_id = doc_id * 1e6 + line number."""
-    return sentences(spark, sf_dir).select(
-        (F.col("src_id") * F.lit(1000000) + F.col("sent_no")).alias("src_id"), "text", "label")
+    """Sentences as augmentation rows, src_id being the sentence's key."""
+    return sentences(spark, sf_dir).select(sentence_key().alias("src_id"), "text", "label")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,4 +105,6 @@ DUCK_PAIRS = (
     "WHERE u.role = 'user' AND a.role = 'assistant')"
 )
 
-DUCK_SENTENCE_ROWS = f"(SELECT src_id * 1000000 + sent_no AS src_id, text, label FROM {DUCK_SENTENCES})"
+DUCK_SENTENCE_KEY = "concat_ws(':', src_id, sent_no)"
+
+DUCK_SENTENCE_ROWS = f"(SELECT {DUCK_SENTENCE_KEY} AS src_id, text, label FROM {DUCK_SENTENCES})"

@@ -92,8 +92,12 @@ class Scores:
 
 def segments(place: np.ndarray, gain: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments of a row of words, in one pass over those that gain: word
-    ``place[i]`` scores ``gain[i]`` > 0, every other word -DRIFT. (first word, last word, score)."""
-    found: list[tuple[int, int, float, float]] = []  # first, last, total before it, total after it
+    ``place[i]`` scores ``gain[i]`` > 0, every other word -DRIFT. (first word, last word, score).
+
+    Each segment keeps a link to the nearest one in front that starts lower; what lies between starts
+    no lower than the segment itself, so a later one that starts lower still passes all of it at
+    once, and the scan is linear."""
+    found: list[tuple[int, int, float, float, int]] = []  # first, last, total before it, total after it, link
     total, last = 0.0, -1
     for p, g in zip(place.tolist(), gain.tolist(), strict=True):
         total -= DRIFT * (p - last - 1)
@@ -102,13 +106,13 @@ def segments(place: np.ndarray, gain: np.ndarray) -> list[tuple[int, int, float]
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= before:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= total:
-                found.append((first, p, before, total))
+                found.append((first, p, before, total, j))
                 break
             first, before = found[j][0], found[j][2]
             del found[j:]
-    return [(a, b, y - x) for a, b, x, y in found]
+    return [(a, b, y - x) for a, b, x, y, _ in found]
 
 
 def karlin(scores: np.ndarray, weight: np.ndarray) -> float:

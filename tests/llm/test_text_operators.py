@@ -134,6 +134,37 @@ def test_toxicity(spark, docs, odd_rows):
     assert toxicity.find(docs([]), model).count() == 0
 
 
+def every_segment(score):
+    """The definition: the best stretch, then what is left and right of it."""
+    found, todo = [], [(0, len(score))]
+    while todo:
+        lo, hi = todo.pop()
+        best, a, b = max(((score[a:b].sum(), a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0, 0, 0))
+        if best > 0:
+            found.append((a, b - 1, round(float(best), 9)))
+            todo += [(lo, a), (b, hi)]
+    return sorted(found)
+
+
+def test_all_segments_against_brute_force():
+    rng = np.random.default_rng(7)
+    for _ in range(400):
+        n = int(rng.integers(1, 24))
+        place = np.flatnonzero(rng.random(n) < rng.choice([0.2, 0.5, 0.9]))
+        gain = rng.random(len(place)) * rng.choice([0.3, 2.0]) + 1e-3
+        score = np.full(n, -toxicity.DRIFT)
+        score[place] = gain
+        assert sorted((a, b, round(s, 9)) for a, b, s in toxicity.segments(place, gain)) == every_segment(score)
+
+
+def test_isolated_hits_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert len(toxicity.segments(np.arange(0, 100_000 * 50, 50), np.full(100_000, 0.01))) == 100_000
+    assert time.perf_counter() - began < 1
+
+
 def test_maximal_segments_against_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(200):

@@ -15,9 +15,10 @@ second half, if there is one sentence), the share of word 3-grams that the passa
 many words as the item has, ``STEP`` at least, on either side hold must reach ``OVERLAP``;
 so a whole copy of an item of any length is found.
 
-The items are indexed in blocks of at most ``BLOCK_TERMS`` postings, counted before they
-are collected; each block's index is broadcast, and every document meets every block.
-Document frequencies and lengths are those of all items.
+The items are indexed in blocks of at most ``BLOCK_TERMS`` postings, a table in the shared
+folder. One block after the other is fetched, broadcast, met by every document, and released
+when its hits are stored, so the driver and the executors hold one block however many
+items there are. Document frequencies and lengths are those of all items.
 
 Edge cases: a null or empty text matches nothing; items without words match nothing;
 repeated items give a row each; repeated documents give rows each; items with a null id
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from augmill.sources.tables import load, spread
 
-from .common import SpanHash, byte_values, chunks, mix, runs, text_buffer
+from .common import SpanHash, byte_values, chunks, discard, mix, runs, shared_path, stored, text_buffer
 from .registry import register
 
 PASSAGE, STEP = 160, 80
@@ -192,8 +193,9 @@ class Index:
                 c[0], c[1] = (items[i] if i < len(items) else end), i
 
 
-def build_indexes(items: DataFrame, threshold: float = THRESHOLD) -> list[bytes]:
-    """A pickled index for each block of items; words, frequencies and blocks are Spark's work."""
+def index_blocks(items: DataFrame) -> tuple[DataFrame | None, int]:
+    """(block, index): a pickled index for each block of items, stored, and the number of blocks; words,
+    frequencies and blocks are Spark's work."""
     rows = items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).withColumn(
         "item_key", F.xxhash64("item_id", "text"))
 
@@ -211,7 +213,7 @@ def build_indexes(items: DataFrame, threshold: float = THRESHOLD) -> list[bytes]
     n, mean, postings = length.join(tf.groupBy("item_key").agg(F.count("*").alias("terms")), "item_key").agg(
         F.count("*"), F.avg("len"), F.sum("terms")).first()
     if not n:
-        return []
+        return None, 0
     blocks = math.ceil(postings / BLOCK_TERMS)
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
@@ -227,10 +229,11 @@ def build_indexes(items: DataFrame, threshold: float = THRESHOLD) -> list[bytes]
             x = np.array([x["weight"] for x in entries])[order]
             lists.append((w[order], x / (x.sum() * min(1.0, STEP / length)), np.array([x["idf"] for x in entries])[order]))
         ids = [None if pd.isna(x) else int(x) for x in part["item_id"]]
-        return pd.DataFrame({"index": [pickle.dumps(Index(ids, list(part["text"]), lists))]})
+        return pd.DataFrame({"block": part["block"].iloc[:1].to_numpy(), "index": [pickle.dumps(Index(ids, list(part["text"]), lists))]})
 
-    made = rows.join(lists, "item_key").groupBy(F.pmod("item_key", F.lit(blocks)).alias("block")).applyInPandas(build, "index binary")
-    return [r[0] for r in made.collect()]
+    made = rows.join(lists, "item_key").withColumn("block", F.pmod("item_key", F.lit(blocks))).groupBy("block").applyInPandas(
+        build, "block bigint, index binary")
+    return stored(made, "item-index"), blocks
 
 
 def _search_rows(index: Index, data: np.ndarray, offs: np.ndarray, threshold: float, overlap: float):
@@ -269,7 +272,8 @@ def _search_rows(index: Index, data: np.ndarray, offs: np.ndarray, threshold: fl
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """A row per document and test item that it holds: (doc_id, item_id, score, question_overlap,
-    answer_overlap, first_word), from the best passage."""
+    answer_overlap, first_word), from the best passage. The call itself searches and stores the hits."""
+    spark = docs.sparkSession
     schema = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double, first_word bigint"
     texts = docs.select("doc_id", F.col("text"))
 
@@ -289,13 +293,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
         return texts.mapInArrow(work, schema)
 
-    parts = [searched(docs.sparkSession.sparkContext.broadcast(x)) for x in build_indexes(items, threshold)]
-    if not parts:
-        return docs.sparkSession.createDataFrame([], schema)
-    found = parts[0]
-    for x in parts[1:]:
-        found = found.unionAll(x)
-    return found
+    table, blocks = index_blocks(items)
+    if table is None:
+        return spark.createDataFrame([], schema)
+    path = shared_path(spark, "leaks")
+    for block in range(blocks):
+        row = table.where(F.col("block") == block).select("index").first()
+        if row is not None:
+            index = spark.sparkContext.broadcast(bytes(row[0]))
+            searched(index).write.mode("append").parquet(path)
+            index.destroy()
+    discard(table)
+    return spark.read.schema(schema).parquet(path)
 
 
 @register("op9_decontaminate")

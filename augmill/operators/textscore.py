@@ -31,46 +31,42 @@ def line_check(hyp: DataFrame, ref: DataFrame) -> DataFrame:
                  F.count(F.when(F.col("_r").isNull(), 1)).alias("missing_ref"))
 
 
-def _grams(df: DataFrame, col: str, n_max: int, limit: int | None, side: int) -> DataFrame:
-    w = F.slice(col, 1, limit) if limit else F.col(col)
+def _per_gram(pairs: DataFrame, n_max: int, limit: int | None) -> DataFrame:
+    """(sid, n, g, hc, rc): how often each gram stands in either side. Both sides' grams leave one scan of
+    the pairs and meet in one aggregation (partial map-side); a row without a gram stands for every order."""
+    def side(col: str, flag: int) -> list[Column]:
+        w = F.slice(col, 1, limit) if limit else F.coalesce(F.col(col), F.array().cast("array<string>"))
 
-    def tagged(n):
-        return F.transform(ngrams(w, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+        def tagged(n: int) -> Column:
+            return F.transform(ngrams(w, n), lambda g: F.struct(F.lit(flag).alias("side"), F.lit(n).alias("n"), g.alias("g")))
 
-    grams = F.flatten(F.array(*[tagged(n) for n in range(1, n_max + 1)]))
-    return df.select("sid", F.explode(grams).alias("x")).select("sid", "x.n", "x.g", F.lit(side).alias("side"))
+        return [tagged(n) for n in range(1, n_max + 1)]
+
+    marks = F.transform(F.sequence(F.lit(1), F.lit(n_max)), lambda n: F.struct(F.lit(2).alias("side"), n.alias("n"), F.lit(None).cast("string").alias("g")))
+    rows = pairs.select("sid", F.explode(F.flatten(F.array(*side("h", 0), *side("r", 1), marks))).alias("x"))
+    return rows.groupBy("sid", "x.n", "x.g").agg(
+        F.count(F.when(F.col("x.side") == 0, 1)).alias("hc"), F.count(F.when(F.col("x.side") == 1, 1)).alias("rc"))
 
 
 def overlap_by_n(pairs: DataFrame, n_max: int, limit: int | None = None) -> DataFrame:
     """(sid, n, match, h_total, r_total): clipped overlap and gram totals per
-    pair and order. Both sides' grams go through ONE aggregation keyed by
-    (sid, n, gram) with per-side counts (partial aggregation map-side), then a
-    second one per (sid, n); pairs without grams of an order get zeros."""
-    both = _grams(pairs, "h", n_max, limit, 0).unionByName(_grams(pairs, "r", n_max, limit, 1))
-    per_gram = both.groupBy("sid", "n", "g").agg(
-        F.count(F.when(F.col("side") == 0, 1)).alias("hc"), F.count(F.when(F.col("side") == 1, 1)).alias("rc"))
-    per_n = per_gram.groupBy("sid", "n").agg(
+    pair and order; pairs without grams of an order get zeros."""
+    return _per_gram(pairs, n_max, limit).groupBy("sid", "n").agg(
         F.sum(F.least("hc", "rc")).alias("match"), F.sum("hc").alias("h_total"), F.sum("rc").alias("r_total"))
-    base = pairs.select("sid", F.explode(F.sequence(F.lit(1), F.lit(n_max))).alias("n"))
-    return (base.join(per_n, ["sid", "n"], "left")
-            .select("sid", "n", F.coalesce("match", F.lit(0)).cast("bigint").alias("match"),
-                    F.coalesce("h_total", F.lit(0)).cast("bigint").alias("h_total"),
-                    F.coalesce("r_total", F.lit(0)).cast("bigint").alias("r_total")))
 
 
 def corpus_bleu(pairs: DataFrame) -> DataFrame:
     """Corpus BLEU x100 (n = 1..4, brevity penalty, 0 if any precision is 0).
-    Per-pair lengths ride along the per-order sums, so one aggregate chain
-    gives every corpus total."""
-    lens = pairs.select("sid", F.size("h").alias("nh"), F.size("r").alias("nr"))
-    o = overlap_by_n(pairs, 4).join(lens, "sid").groupBy("n").agg(
-        F.sum("match").alias("m"), F.sum("h_total").alias("t"), F.sum("nh").alias("c"), F.sum("nr").alias("rl"))
+    The corpus sums come straight from the grams' counts; the totals of order 1
+    are the lengths of both sides."""
+    o = _per_gram(pairs, 4, None).groupBy("n").agg(
+        F.sum(F.least("hc", "rc")).alias("m"), F.sum("hc").alias("t"), F.sum("rc").alias("r"))
     s = o.groupBy().agg(
         F.min(F.when(F.col("t") > 0, F.col("m") / F.col("t")).otherwise(F.lit(0.0))).alias("pmin"),
         F.avg(F.log(F.when(F.col("m") > 0, F.col("m") / F.col("t")))).alias("logmean"),
-        F.max("c").alias("c"), F.max("rl").alias("rl"),
-        *[F.max(F.when(F.col("n") == k, F.col("m") / F.col("t"))).alias(f"p{k}") for k in range(1, 5)])
-    bp = F.when(F.col("c") > F.col("rl"), F.lit(1.0)).otherwise(F.exp(1.0 - F.col("rl") / F.col("c")))
+        F.max(F.when(F.col("n") == 1, F.col("t"))).alias("c"), F.max(F.when(F.col("n") == 1, F.col("r"))).alias("rl"),
+        *[F.max(F.when((F.col("n") == k) & (F.col("t") > 0), F.col("m") / F.col("t"))).alias(f"p{k}") for k in range(1, 5)])
+    bp = F.when(F.col("c") > F.col("rl"), F.lit(1.0)).when(F.col("c") > 0, F.exp(1.0 - F.col("rl") / F.col("c"))).otherwise(F.lit(0.0))
     bleu = F.when(F.col("pmin") > 0, bp * F.exp(F.col("logmean")) * 100.0).otherwise(F.lit(0.0))
     return s.select(F.round(bleu, 6).alias("bleu"), F.round(bp, 6).alias("bp"),
                     *[F.round(F.col(f"p{k}"), 6).alias(f"p{k}") for k in range(1, 5)])

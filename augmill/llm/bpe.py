@@ -3,9 +3,9 @@
 Tier one: a minimal perfect hash over the vocabulary resolves a pre-token that is a
 token as a whole with one probe and one comparison. Tier two: a pre-token that isn't
 is merged from its bytes, a linked list of parts with a heap of candidate merges, in
-O(n log n) for n bytes. Pre-tokens met before are remembered within a task, up to
-``REMEMBER`` bytes; the memory is emptied when full and when the task ends, so it is
-bounded, stays with no idle worker, and never decides a result.
+O(n log n) for n bytes. Pre-tokens met before are remembered per worker, up to
+``REMEMBER`` bytes; the memory is emptied when full, so it is bounded, whatever the
+length of the pre-tokens, and never decides a result.
 
 Edge cases: a null text is empty and gives no ids; repeated rows each give their row;
 an empty table gives an empty table; special-token strings are ordinary text. Input
@@ -31,9 +31,9 @@ from augmill.sources.tables import load, spread
 
 from .registry import register
 
-#: Bytes of pre-tokens and their ids that a task remembers, with ``OVERHEAD`` for the objects of each.
-REMEMBER = 16 << 20
-OVERHEAD = 200
+#: Bytes of pre-tokens and their ids that a worker remembers, with ``OVERHEAD`` for the objects of each.
+REMEMBER = 96 << 20
+OVERHEAD = 140
 
 _MASK = (1 << 64) - 1
 
@@ -193,26 +193,35 @@ def _loaded(path: str, pattern: str) -> Bpe:
     return Bpe(read_ranks(path), pattern)
 
 
+def _encoded(path: str, pattern: str, names: list[str], decoded: bool):
+    def work(batches):
+        bpe = _loaded(path, pattern)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
+                offs = np.cumsum([0, *map(len, ids)])
+                flat = np.concatenate(ids or [np.empty(0, np.int32)])
+                cols = [part.column(0), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat, pa.int32()))]
+                if decoded:  # from the ids alone
+                    cols.append(pa.array([bpe.decode(x.tolist()) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return work
+
+
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, token_ids array<int>) of every row; ``path``: a rank file that every executor has."""
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(
+        _encoded(path, pattern, [id_col, "token_ids"], False), f"`{id_col}` {kind}, token_ids array<int>")
 
-    def work(batches):
-        bpe = _loaded(path, pattern)
-        try:
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 256):
-                    part = batch.slice(lo, 256)
-                    ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
-                    offs = np.cumsum([0, *map(len, ids)])
-                    flat = np.concatenate(ids or [np.empty(0, np.int32)])
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat, pa.int32()))],
-                        names=[id_col, "token_ids"])
-        finally:
-            bpe.forget()
 
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, token_ids, decoded binary): :func:`decode` of :func:`encode` in one pass, with one worker a task."""
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(work, f"`{id_col}` {kind}, token_ids array<int>")
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(
+        _encoded(path, pattern, [id_col, "token_ids", "decoded"], True), f"`{id_col}` {kind}, token_ids array<int>, decoded binary")
 
 
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -234,8 +243,7 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> Da
 
 def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, decode the ids again, and reduce both to digests."""
-    coded = decode(encode(df, path, pattern, id_col, text_col), path, pattern, id_col)
-    return coded.select(
+    return round_trip(df, path, pattern, id_col, text_col).select(
         F.col(id_col),
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

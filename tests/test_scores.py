@@ -49,3 +49,31 @@ def test_rouge_l_reads_whole_texts(spark):
     df = spark.createDataFrame(rows, "sid long, h array<string>, r array<string>")
     got = {r.sid: r.lcs for r in G.rouge_l(df).collect()}
     assert got == {sid: dp_lcs(h, r) for sid, h, r in rows}
+
+
+def _stages_and_rows(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange"), plan
+
+
+def test_scores_of_a_key_need_one_exchange_and_no_token_rows(spark):
+    pairs = spark.createDataFrame([(1, ["a", "b"], ["a", "c"])], "sid long, h array<string>, r array<string>").repartition("sid")
+    trees = spark.createDataFrame([(1, 2, "(S (P (W a) (W b)))", "(S (P (W a)) (P (W b)))")], "sid long, len_bucket long, gold string, pred string").repartition("sid")
+    for df in (G.rouge_n(pairs), G.meteor_exact(pairs), G.overlap_by_n(pairs, 2), G.tree_distance(trees), G.bracket_spans(trees, "gold")):
+        exchanges, plan = _stages_and_rows(df)
+        assert exchanges == 1 and "Window" not in plan and "posexplode" not in plan
+
+
+def test_trees_are_parsed_once(spark):
+    trees = spark.createDataFrame([(1, 2, "(S (P (W a) (W b)))", "(S (P (W a)) (P (W b)))"), (2, 1, "(W a)", "(W a)")],
+                                  "sid long, len_bucket long, gold string, pred string")
+    df = G.tree_distance(trees)
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r.sid, r.distance) for r in df.collect()] == [(1, 3)]
+
+
+def test_rows_that_repeat_an_id_are_scored_together(spark):
+    pairs = spark.createDataFrame([(1, ["a", "b"], ["b", "a"]), (1, ["a", "b"], ["b", "a"]), (None, [], ["x"])], "sid long, h array<string>, r array<string>")
+    got = {(r.sid, r.n): (r.match, r.h_total, r.r_total) for r in G.overlap_by_n(pairs, 2).collect()}
+    assert got == {(1, 1): (4, 4, 4), (1, 2): (0, 2, 2), (None, 1): (0, 0, 1), (None, 2): (0, 0, 0)}
+    assert sorted((r.sid or 0, r.matches, r.chunks) for r in G.meteor_exact(pairs).collect()) == [(0, 0, 0), (1, 4, 4), (1, 4, 4)]

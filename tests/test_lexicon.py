@@ -38,3 +38,10 @@ def test_lexicon_draws_by_its_definition(spark):
 def test_lexicon_moves_tokens_and_added_up_pairs_only(spark):
     plan = LX.lexicon_from_contexts(corpus(spark))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 2 and "Join" not in plan
+
+
+def test_counts_of_contexts_are_dealt_out_by_context(spark):
+    counts = LX.context_counts(corpus(spark))
+    totals = counts.groupBy("lft", "rgt").agg(F.sum("cnt").alias("total"))
+    assert totals._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert totals.agg(F.sum("total")).first()[0] == LX.context_triples(corpus(spark)).count()

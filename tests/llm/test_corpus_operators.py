@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from augmill.llm import decontaminate, jaccard, suffix_dedup
@@ -118,6 +120,36 @@ def test_hot_seeds_meet_by_window(spark, docs, monkeypatch):
     assert {r.doc_id: bytes(r.kept) for r in got} == brute_repeats(rows, 100)
 
 
+@pytest.mark.parametrize("n_hot", [0, 3])
+def test_stretches_do_not_depend_on_the_block(n_hot):
+    """A chunk is read in blocks of whole texts; long ones are blocks of their own."""
+    rng = random.Random(9)
+    texts = [sentence(rng, rng.randint(0, 90)) for _ in range(40)] + ["", sentence(rng, 400)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    whole = suffix_dedup.stretches(data, offs, 100)
+    seeds = np.sort(whole[3])[:n_hot]
+    want = suffix_dedup._apart(data, offs, 100, seeds)
+    parts = []
+    for lo, hi in suffix_dedup.chunks(offs, 700):
+        row, *rest = suffix_dedup._apart(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], 100, seeds)
+        parts.append((row + lo, *rest))
+    assert len(parts) > 10
+    key = lambda x: sorted(zip(*(c.tolist() for c in x), strict=True))
+    assert key([np.concatenate(x) for x in zip(*parts, strict=True)]) == key(want)
+
+
+def test_windows_of_hot_seeds_count_as_rows(spark, docs, monkeypatch):
+    """What a first task gets is planned from the rows that taking hot seeds apart makes, not from the text's length."""
+    rng = random.Random(10)
+    shared = sentence(rng, 60)
+    texts = docs([(k, sentence(rng, 6) + shared + sentence(rng, 6)) for k in range(30)]).select(F.col("doc_id").alias("id"), "text")
+    cold = suffix_dedup._hot_seeds(texts, 100)
+    monkeypatch.setattr(suffix_dedup, "HOT", 0)
+    hot, rows = suffix_dedup._hot_seeds(texts, 100)
+    assert len(cold[0]) == 0 and len(hot) and rows == suffix_dedup._stretch_rows(texts, 100, hot).count() > 3 * cold[1]
+
+
 def test_leaks(spark, docs, odd_rows):
     rng = random.Random(4)
     items = [(k, sentence(rng, 12) + ". " + sentence(rng, 8) + ".") for k in range(30)] + [(30, None), (31, ""), (None, sentence(rng, 20))]

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from augmill.sources.tables import load, spread
 
-from .common import SpanHash, byte_values, chunks, discard, mix, runs, stored, text_buffer
+from .common import BLOCK_BYTES, SpanHash, byte_values, chunks, discard, mix, runs, stored, text_buffer
 from .components import components
 from .registry import register
 
@@ -98,7 +98,7 @@ def _describe(texts: DataFrame, n: int, percent: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             data, offs = text_buffer(batch.column(1))
-            for lo, hi in chunks(offs):
+            for lo, hi in chunks(offs, BLOCK_BYTES):
                 r, g = ngram_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], n)
                 size = np.bincount(r, minlength=hi - lo)
                 at = np.concatenate([[0], np.cumsum(size)])
@@ -227,7 +227,7 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             data, offs = text_buffer(batch.column(1))
-            for lo, hi in chunks(offs):
+            for lo, hi in chunks(offs, BLOCK_BYTES):
                 r, g = ngram_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], n)
                 cut = np.cumsum(np.bincount(r, minlength=hi - lo))[:-1]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in np.split(g, cut)], pa.binary())],
@@ -300,6 +300,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = stored(_describe(texts, n, percent), "ngram-rows")
     shared = stored(_leading(_representatives(rows), percent), "leads")
+    # the listed n-grams have done their work: from here on the digests are enough
+    every, rows = rows, stored(rows.select("id", "n", "s1", "s2"), "ngram-digests")
+    discard(every)
 
     # groups of candidate classes
     member = shared.groupBy("id").agg(F.max(F.struct("classes", "g"))["g"].alias("key"), F.max("n").alias("n"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from augmill.sources.tables import load, spread
 
-from .common import SpanHash, byte_values, chunks, mix, text_buffer
+from .common import BLOCK_BYTES, SpanHash, byte_values, chunks, mix, text_buffer
 from .labelled import fold, training_sample
 from .registry import register
 
@@ -139,7 +139,7 @@ def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
         for batch in batches:
             data, offs = text_buffer(batch.column(1))
             out = np.zeros(batch.num_rows)
-            for lo, hi in chunks(offs):
+            for lo, hi in chunks(offs, BLOCK_BYTES):
                 f, r, words = features(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], bits)
                 out[lo:hi] = np.bincount(r, w[f], minlength=hi - lo) / np.sqrt(np.maximum(words, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], names=[id_col, "score"])

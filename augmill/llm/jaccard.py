@@ -54,6 +54,8 @@ TASK_NGRAMS = 250_000
 COMMON, SAMPLE, MOST_CLASSES = 200, 20_000, 1 << 60
 #: Candidate classes up to which their ids (8 bytes each) are broadcast to the scan of the texts.
 BROADCAST_IDS = 2_000_000
+#: Meetings of classes and groups (about 50 bytes each) up to which they are broadcast to the scan of the sets.
+BROADCAST_ROWS = 500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -321,7 +323,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     discard(every)
     asked = None
     for step in ("largest", "pieces", "all"):
-        now = member.join(components(links), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        comp = components(links)
+        now = member.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         weight = now.groupBy("comp").agg(F.count("*").alias("weight"))
         now = stored(now.join(weight, "comp").withColumn("rank", F.struct("weight", "comp")).drop("weight"), "components")
         held = shared.select("id", "g").join(now, "id")
@@ -342,16 +345,19 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
         pairs = stored(pairs, "asks")
         asked = pairs.select("id", *group) if asked is None else asked.unionByName(pairs.select("id", *group))
         load_ = pairs.groupBy(*group).agg(F.ceil(F.count("*") / ASKING).alias("shares"))
-        asking = pairs.join(load_, group).withColumn("share", F.pmod(F.xxhash64("id"), "shares")).drop("shares").join(sets, "id")
+        asking = pairs.join(load_, group).withColumn("share", F.pmod(F.xxhash64("id"), "shares")).drop("shares")
         members = now.join(load_, group).select(
-            "id", "comp", *group, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share")).join(sets, "id")
+            "id", "comp", *group, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share"))
         by = [*group, "share"]
-        both = members.select(*by, "id", "comp", "grams", F.lit(False).alias("asks")).unionByName(
-            asking.select(*by, "id", "comp", "grams", F.lit(True).alias("asks")))
-        found = both.groupBy(*by).applyInPandas(_asked(percent), "a bigint, b bigint")
-        before, links = links, stored(links.unionByName(found), "links")
-        discard(before)
-        discard(now)
+        # who meets where is short: where it can be broadcast, the sets move once, to where they meet
+        both = stored(members.select(*by, "id", "comp", F.lit(False).alias("asks")).unionByName(
+            asking.select(*by, "id", "comp", F.lit(True).alias("asks"))), "meetings")
+        met = sets.join(F.broadcast(both) if both.count() <= BROADCAST_ROWS else both, "id")
+        found = met.groupBy(*by).applyInPandas(_asked(percent), "a bigint, b bigint")
+        # the stars of the components say all that their links did
+        before, links = links, stored(comp.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found), "links")
+        for table in (before, now, both):
+            discard(table)
 
     comp = components(links)
     classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id")).join(comp, "id", "left").select(

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from augmill.llm import decontaminate, jaccard, suffix_dedup
+from augmill.llm import components as component_steps
+from augmill.llm.common import stored
 from augmill.llm.components import components
 
 
@@ -150,6 +152,26 @@ def test_windows_of_hot_seeds_count_as_rows(spark, docs, monkeypatch):
     assert len(cold[0]) == 0 and len(hot) and rows == suffix_dedup._stretch_rows(texts, 100, hot).count() > 3 * cold[1]
 
 
+def test_a_family_in_one_task_takes_few_steps(spark, monkeypatch):
+    """Links that a task reads are stars before the first step; a small task finds the same components."""
+    rng = random.Random(12)
+    links = [(k, k + 1) for k in range(300)] + [(5000 + k, 5000 + rng.randrange(90)) for k in range(60)] + [(-7, 9000), (9000, -7), (4, 4)]
+    rng.shuffle(links)
+    smallest = {}
+    for a, b in links:
+        both = smallest.get(a, {a}) | smallest.get(b, {b})
+        smallest.update(dict.fromkeys(both, both))
+    want = {x: min(smallest[x]) for a, b in links if a != b for x in (a, b)}
+    tables = []
+    monkeypatch.setattr(component_steps, "stored", lambda df, label: tables.append(label) or stored(df, label))
+    for size, most in ((1 << 20, 2), (7, 20)):
+        monkeypatch.setattr(component_steps, "TASK_LINKS", size)
+        tables.clear()
+        got = components(spark.createDataFrame(links, "a bigint, b bigint").coalesce(1)).collect()
+        assert len(got) == len(want) and {r.id: r.component for r in got} == want
+        assert len(tables) <= most
+
+
 def test_leaks(spark, docs, odd_rows):
     rng = random.Random(4)
     items = [(k, sentence(rng, 12) + ". " + sentence(rng, 8) + ".") for k in range(30)] + [(30, None), (31, ""), (None, sentence(rng, 20))]

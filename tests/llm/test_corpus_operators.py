@@ -172,6 +172,38 @@ def test_a_family_in_one_task_takes_few_steps(spark, monkeypatch):
         assert len(tables) <= most
 
 
+def test_settled_windows_in_a_row_are_one_row(spark, docs):
+    """A passage of hot seeds that a task reads many times gives one row per document, not one per window."""
+    rng = random.Random(11)
+    shared = sentence(rng, 60)
+    rows = [(k, shared + " " + sentence(rng, 3)) for k in range(50)] + [(100, shared[:50]), (101, shared + shared)]
+    texts = docs(rows).select(F.col("doc_id").alias("id"), "text").coalesce(1)
+    hot = np.sort(np.array([r.seed for r in suffix_dedup._stretch_rows(texts, 100, np.empty(0, np.uint64)).collect()], np.int64).view(np.uint64))
+    got = [r for r in suffix_dedup._stretch_rows(texts, 100, np.unique(hot)).collect() if r.repeat]
+    assert len(got) == 51 and sum(r.windows for r in got if r.id < 100) >= 49 * (len(shared) - 99)
+
+
+def test_windows_in_a_row_join():
+    doc, start, windows = (np.array(x) for x in ([7, 3, 3, 3, 3, 7], [5, 10, 0, 4, 30, 0], [2, 1, 4, 6, 5, 4]))
+    assert [x.tolist() for x in suffix_dedup._in_rows(doc, start, windows)] == [[3, 3, 7, 7], [0, 30, 0, 5], [11, 5, 4, 2]]
+    assert [len(x) for x in suffix_dedup._in_rows(doc[:0], start[:0], windows[:0])] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("letters, width", [(2, 8), (30, 3), (200, 2)])
+def test_merge_takes_as_many_symbols_as_fit(letters, width):
+    rng = np.random.default_rng(3)
+    text = rng.integers(1, letters + 1, 200_000).astype(np.uint8)
+    text[70_000:71_000] = text[100:1100]
+    shards = np.split(text, [60_000, 150_000])
+    orders = [suffix_dedup.shard_order(t, 100) for t in shards]
+    assert suffix_dedup._ranked([x for _, x in orders])[0] == width
+    order = suffix_dedup.merged_order(shards, 100)
+    cyclic = [np.concatenate([t, t[:100]]).tobytes() for t in shards]
+    base = [0, 60_000, 150_000]
+    keys = [cyclic[j][p - base[j] : p - base[j] + 100] for p, j in zip(order.tolist(), (np.searchsorted(base, order, "right") - 1).tolist(), strict=True)]
+    assert sorted(order.tolist()) == list(range(200_000)) and all(a <= b for a, b in zip(keys, keys[1:], strict=False))
+
+
 def test_leaks(spark, docs, odd_rows):
     rng = random.Random(4)
     items = [(k, sentence(rng, 12) + ". " + sentence(rng, 8) + ".") for k in range(30)] + [(30, None), (31, ""), (None, sentence(rng, 20))]

@@ -204,6 +204,21 @@ def test_merge_takes_as_many_symbols_as_fit(letters, width):
     assert sorted(order.tolist()) == list(range(200_000)) and all(a <= b for a, b in zip(keys, keys[1:], strict=False))
 
 
+def test_a_shard_is_sorted_four_times(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = np.tile(rng.integers(1, 30, 700).astype(np.uint8), 6)  # equal beyond any number of symbols
+    calls, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: calls.append(len(a[0])) or sort(*a, **k))
+    monkeypatch.setattr(np, "unique", None)  # hashes every value
+    order, first = suffix_dedup.shard_order(text, 100)
+    assert len(calls) == 4  # to 8, 24, 72 and 216 symbols
+    cyclic = np.concatenate([text, text[:100]]).tobytes()
+    keys = [cyclic[p : p + 100] for p in order.tolist()]
+    assert keys == sorted(keys) and sorted(order.tolist()) == list(range(len(text)))
+    assert [x[:8] for x in keys] == [int(x).to_bytes(8, "big") for x in first]
+    assert suffix_dedup._ranked([first[:0], first, first])[0] == 8
+
+
 def test_leaks(spark, docs, odd_rows):
     rng = random.Random(4)
     items = [(k, sentence(rng, 12) + ". " + sentence(rng, 8) + ".") for k in range(30)] + [(30, None), (31, ""), (None, sentence(rng, 20))]

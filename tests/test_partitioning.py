@@ -38,3 +38,14 @@ def test_template_fill_keeps_stop_words(spark):
     df = spark.createDataFrame([("Cats chase mice", "the dog is on the red mat")], "s string, e string")
     got = ST.template_fill(F.col("s"), F.col("e"), df).first().paraphrase
     assert got == "the cats is on the chase mice"
+
+
+def test_template_fill_walks_each_row_once(spark):
+    rows = [("Cats chase mice", "  The DOG ", "the cats"), ("", "red", ""), ("of  it", "a b", "a"), (None, "a", None), ("a", None, None),
+            ("x y", "", ""), ("　One\ttwo three\x85", "big  red\nmat on HIS mat ", "one\ttwo  three on his"), ("the ΟΔΟΣ", "İ is", "οδος is")]
+    df = spark.createDataFrame([(k, s, e) for k, (s, e, _) in enumerate(rows)], "k int, s string, e string")
+    out = ST.template_fill(F.col("s"), F.col("e"), df)
+    assert [r.paraphrase for r in out.orderBy("k").collect()] == [want for *_, want in rows]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambdafunction" not in plan and "array_sort" not in plan
+    assert all((chr(k) in ST._BLANKS) == chr(k).isspace() for k in range(0x10000))

@@ -99,3 +99,22 @@ def test_geca_cumulative_carries_earlier_rounds(spark):
     assert cum[0] == ind[0] and cum[1] == ind[1]
     changed = lambda t: {i for i, (a, b) in enumerate(zip(t.split(), ind[0].split())) if a != b}
     assert changed(ind[1]) <= changed(cum[2]) and changed(ind[2]) <= changed(cum[2])
+
+
+def test_only_the_contexts_drawn_are_counted(spark):
+    """What no row asks for is left out before the corpus' tokens move; the counts of the others are whole."""
+    from augmill.operators import geca as GC
+    from augmill.operators import lexicon as LX
+
+    docs = spark.createDataFrame([(" ".join(f"{a}{b}" for b in "abcdefghij" for _ in range(2)),) for a in "klmnopqrst" for _ in range(3)], "text string")
+    cc = LX.context_counts(docs)
+    asked = spark.createDataFrame([("ka", "kb"), ("sb", "sb"), ("not", "there"), ("ka", "kb")], "lft string, rgt string")
+    key = lambda t: sorted(map(tuple, t.collect()))
+    want = key(cc.join(asked.distinct(), ["lft", "rgt"], "left_semi"))
+    got = LX.asked_only(cc, asked)
+    assert key(got.join(asked.distinct(), ["lft", "rgt"], "left_semi")) == want and len(want) > 1
+    assert got.count() < cc.count() / 4
+    rows = spark.createDataFrame([(1, "ka kb kb", 0)], "src_id long, text string, label int")
+    plan = GC.fragment_swap(rows, cc)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    moves = [i for i, x in enumerate(plan) if "RepartitionByExpression" in x]
+    assert moves and all(any("asked(" in x for x in plan[i + 1 : i + 6]) for i in moves)

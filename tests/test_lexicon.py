@@ -45,3 +45,49 @@ def test_counts_of_contexts_are_dealt_out_by_context(spark):
     totals = counts.groupBy("lft", "rgt").agg(F.sum("cnt").alias("total"))
     assert totals._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert totals.agg(F.sum("total")).first()[0] == LX.context_triples(corpus(spark)).count()
+
+
+def test_cleaned_bytes_are_the_cleaned_text(spark):
+    from augmill.functions import text as T
+
+    texts = ["Don't STOP", "it’s  a\ttest", "ÀB C\u212aD \u0130x", "a-b_c9d", "", " ", "ΣΑΣ end", "x\ny\nz", "\u2019\u2019 '' q"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.split_nonempty(T.clean_letters(F.col("text"))).alias("w"))
+    for r in rows.collect():
+        assert LX._cleaned(r.text.encode()).decode().split() == r.w
+
+
+def test_tokens_move_as_one_row_per_group():
+    import pyarrow as pa
+
+    texts = [f"a{chr(97 + k % 20)} b c{chr(97 + k % 7)} d" for k in range(500)] + [None, "", "one two"]
+    rows = list(LX._triples(4)([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+    assert len(rows) == 1 and sorted(rows[0]["grp"].to_pylist()) == sorted(set(rows[0]["grp"].to_pylist())) and rows[0].num_rows <= 4
+    found = [x.split() for x in rows[0]["tokens"].to_pylist()]
+    assert sum(int(n) for x in found for n in x[3::4]) == 1000
+    where = {}
+    for g, x in zip(rows[0]["grp"].to_pylist(), found, strict=True):
+        for context in zip(x[::4], x[1::4]):
+            assert where.setdefault(context, g) == g
+
+
+def test_many_draws_equal_one_by_one():
+    import hashlib
+
+    import pyarrow as pa
+
+    from augmill.functions import md5
+
+    heads = ["", "x" * 53, "x" * 54, "x" * 55, "x" * 200, "é|ü"] + [f"lexicon|0|{k}|" for k in range(40)]
+    ends = [b"0", b"12", b"", b"7"]
+    want = [[int(hashlib.md5(h.encode() + e).hexdigest()[:15], 16) for e in ends] for h in heads]
+    assert md5.draws(pa.array(heads)[1:], ends).tolist() == want[1:]
+
+
+def test_words_in_large_numbers_keep_their_contexts():
+    import numpy as np
+
+    l, r, w = np.array([5, 1, 5, 0]), np.array([2, 2, 2, 7]), np.array([9, 8, 3, 1])
+    for n in (10, 1 << 30):
+        key, apart = LX._keyed(l, r, w, n)
+        key = np.sort(key)
+        assert [x.tolist() for x in apart(key)] == [[0, 1, 5, 5], [7, 2, 2, 2], [1, 8, 3, 9]]

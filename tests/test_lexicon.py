@@ -91,3 +91,14 @@ def test_words_in_large_numbers_keep_their_contexts():
         key, apart = LX._keyed(l, r, w, n)
         key = np.sort(key)
         assert [x.tolist() for x in apart(key)] == [[0, 1, 5, 5], [7, 2, 2, 2], [1, 8, 3, 9]]
+
+
+def test_texts_without_contexts_of_two_words_have_no_entries():
+    import pyarrow as pa
+
+    batch = lambda texts: pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    assert sum(b.num_rows for b in LX._triples(4)([batch([None, "", " 1 2 ", "one two"])])) == 0
+    for texts, words in ((["a b c d", "a b c"], []), (["a b c", "a d c"], ["b", "d"])):
+        (rows,) = LX._triples(1)([batch(texts)])
+        got = LX._partners(8, 0)(pa.Table.from_batches([rows]))
+        assert sorted(got["word"].to_pylist()) == words
